@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loregraph.llm import bpe
+from loregraph.llm import bpe, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_token_files": token_files.op1_token_files,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     }
 
