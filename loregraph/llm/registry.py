@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loregraph.llm import bpe, token_files
+from loregraph.llm import bpe, jaccard_join, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op2_ngram_jaccard": jaccard_join.op2_ngram_jaccard,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     }
 
