@@ -62,7 +62,7 @@ def committed_output(uri: str) -> Iterator:
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
     context = TaskContext.get()
     attempt = f"{path}.attempt-{context.taskAttemptId() if context else 0}-{uuid.uuid4().hex}"
-    stream = files.open_output_stream(attempt)
+    stream = files.open_output_stream(attempt, compression=None)
     try:
         yield stream
     except BaseException:

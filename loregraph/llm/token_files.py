@@ -177,7 +177,7 @@ class TokenFiles:
             for batch in batches:
                 for shard, start, uri in zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "file")), strict=True):
                     files, path = filesystem(uri)
-                    with files.open_input_stream(path, buffer_size=1 << 20) as stream:
+                    with files.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                         rows, held = [], 0
                         for payload in records(stream):
                             doc_id, ids = parse(payload, width)
