@@ -172,8 +172,8 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 12, digits: i
 
     ``prints``: the id and ``fingerprint``.  A band is ``digits`` sampled places of the
     fingerprint's last full scale but one, where near texts of unlike length still agree.
-    Equal fingerprints are one class, so groups of copies cost one row; a band's texts meet
-    its smallest member alone, so a group of near texts costs its size.
+    Rows of equal fingerprints are linked to the smallest id of them, which alone goes on; a
+    band's texts meet its smallest member alone, so a group of near texts costs its size.
     """
     classes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("id"))
 
@@ -200,7 +200,9 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 12, digits: i
             found = [likeness(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "likeness"])
 
-    return met.mapInArrow(verify, "a bigint, b bigint, likeness double").where(F.col("likeness") >= least)
+    equal = prints.select("fingerprint", F.col(id_col).cast("bigint").alias("b")).join(classes, "fingerprint").where("b <> id")
+    members = equal.select(F.col("id").cast("bigint").alias("a"), "b", F.lit(1.0).alias("likeness")).distinct()
+    return met.mapInArrow(verify, "a bigint, b bigint, likeness double").where(F.col("likeness") >= least).unionByName(members)
 
 
 def with_next(docs: DataFrame, id_col: str, text: str, parts: int) -> DataFrame:
