@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from loregraph.llm import bpe, fingerprints, jaccard_join, language_id, mixing, quality, token_files, warc
+from loregraph.llm import bpe, fingerprints, jaccard_join, language_id, mixing, quality, token_files, token_rollups, topk_search, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
         "op2_ngram_jaccard": jaccard_join.op2_ngram_jaccard,
+        "op3_topk_search": topk_search.op3_topk_search,
         "op4_mixing": mixing.op4_mixing,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_warc": warc.op6_warc,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op8_language_id": language_id.op8_language_id,
         "op9_quality": quality.op9_quality,
+        "op10_token_rollups": token_rollups.op10_token_rollups,
     }
 
 
@@ -22,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op10_token_rollups": token_rollups.OP10_SQL,
     }
