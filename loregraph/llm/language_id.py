@@ -150,11 +150,11 @@ def fit(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text: str =
     return train([r["text"].encode() for r in chosen], [r["lang"] for r in chosen]) if chosen else None
 
 
-def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "__text")]
+def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns (all by default) with the language and its score as ``names``, which replace columns of these names."""
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in (*names, "__text")]
     rows = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + [f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.prepare() if model else None
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", tex
                 best = sums.argmax(axis=1)
                 languages[known] = np.array(model.languages, object)[best[known]]
                 scores[known] = sums[np.arange(len(best)), best][known]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(np.clip(scores, 0, 1))], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(np.clip(scores, 0, 1))], [*keep, *names])
 
     return rows.mapInArrow(predict, schema)
 

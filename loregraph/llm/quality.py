@@ -138,11 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "d
     return train([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows])
 
 
-def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) with ``score`` and ``predicted``; columns of these names are replaced."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted", "__text")]
+def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns (all by default) with the score and the label as ``names``, which replace columns of these names."""
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in (*names, "__text")]
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["score double", "predicted int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + [f"`{names[0]}` double", f"`{names[1]}` int"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model else None
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", k
                 scores = model.scores(np.array([features(view[offsets[i] : offsets[i + 1]], *compressors) for i in range(batch.num_rows)]))
             else:
                 scores = np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores), pa.array((scores >= GOOD).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores), pa.array((scores >= GOOD).astype(np.int32))], [*keep, *names])
 
     return rows.mapInArrow(predict, schema)
 
