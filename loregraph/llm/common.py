@@ -73,6 +73,19 @@ def committed_output(uri: str) -> Iterator:
     files.move(attempt, path)
 
 
+def hash_sample(rows: DataFrame, key, count: int) -> DataFrame:
+    """At most ``count`` rows of ``rows``, those with the smallest ``key``, one a key; adds ``key``.
+
+    Keys alone are ordered first, so what reaches the driver doesn't grow with the rows' width
+    or number.
+    """
+    cutoff = rows.select(key.alias("key")).orderBy("key").limit(count).agg(F.max("key")).first()[0]
+    if cutoff is None:
+        return rows.limit(0).withColumn("key", F.lit(0).cast("bigint"))
+    chosen = rows.withColumn("key", key).where(F.col("key") <= cutoff)
+    return chosen.groupBy("key").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*", "key")
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending cut points of a long column, by approximate quantiles.
 

@@ -161,13 +161,13 @@ def needed(n: str | int, t: int):
 
 
 def postings(profiles: DataFrame, t: int) -> DataFrame:
-    """(token, key, n, at, classes) of the prefixes of all sets that can have a partner."""
+    """(token, p) of the prefixes of all sets that can have a partner; p: weight, key, n, at, classes."""
     classes = F.array(*[F.expr(f"size(filter(tokens, x -> (x & {CLASSES - 1}) = {c}))") for c in range(CLASSES)])
     prefix = F.expr(f"greatest(0, n - (n * {t} + 99) div 100 + 1 - (n - size(tokens)))").cast("int")
     # computed below the generator, so that its rows don't carry the whole array
-    prefixes = profiles.select("set_key", "n", (F.col("n") - F.size("tokens")).alias("own"), classes.alias("classes"), F.slice("tokens", 1, prefix).alias("prefix"))
-    posted = prefixes.select("set_key", "n", "own", "classes", F.posexplode("prefix").alias("at", "token"))
-    return posted.select("token", F.struct(F.col("set_key").alias("key"), "n", (F.col("at") + F.col("own")).alias("at"), "classes").alias("p"))
+    prefixes = profiles.select("set_key", "n", "weight", (F.col("n") - F.size("tokens")).alias("own"), classes.alias("classes"), F.slice("tokens", 1, prefix).alias("prefix"))
+    posted = prefixes.select("set_key", "n", "weight", "own", "classes", F.posexplode("prefix").alias("at", "token"))
+    return posted.select("token", F.struct("weight", F.col("set_key").alias("key"), "n", (F.col("at") + F.col("own")).alias("at"), "classes").alias("p"))
 
 
 def passes(a: str, b: str, t: int):
@@ -192,42 +192,49 @@ def verified(pairs: DataFrame, profiles: DataFrame, t: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``percent``: least Jaccard similarity of a link."""
     sets = shingle_counts(docs, width, id_col, text)
-    links = set_links(docs, width, percent, text)
+    labels = set_links(docs, width, percent, text)[1]
     by_set = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    labels = materialise(connected_components(links.select("a", "b")), "labels")
     linked = by_set.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(smallest, "component").select("set_key", "component_id")
     return sets.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def set_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """Verified links (a, b, overlap) between different shingle sets that join up all components.
+#: Rounds in which each set meets one leader, before the rest of the candidates is verified.
+LEADER_ROUNDS = 3
 
-    Every pair at or above ``percent`` either is here or has both ends in one component of these.
+
+def set_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, labels) of different shingle sets.
+
+    ``links(a, b, overlap)`` are verified and join up all components: every pair at or above
+    ``percent`` is one or has both ends in one component.  ``labels(node, component)`` names
+    the components of all sets that have a link.
     """
     t = percent
     counted = shared_shingles(docs, width, text, shuffle_partitions(docs.sparkSession))
     enough = counted.where(F.size("shared") >= needed("n", t))
     rare_first = F.transform(F.array_sort("shared"), lambda x: x["tokens"])
-    profiles = materialise(enough.select("set_key", "n", rare_first.alias("tokens")), "profiles")
+    # a set whose shingles many others have is in the middle of its group: it leads
+    weight = F.aggregate("shared", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["counts"]) / F.col("n")
+    profiles = materialise(enough.select("set_key", "n", weight.alias("weight"), rare_first.alias("tokens")), "profiles")
     posted = materialise(postings(profiles, t), "postings")
 
-    found = None
-    tried = None
-    labels = None
-    for _ in range(2):
+    found = tried = labels = None
+    for _ in range(LEADER_ROUNDS):
         rows = _labelled(posted, labels)
-        leader = rows.groupBy("token").agg(F.min(F.struct("component", "p")).alias("l"), F.max("component").alias("most")).where(F.col("l.component") < F.col("most"))
+        leader = rows.groupBy("token").agg(F.max(F.struct("p", "component")).alias("l"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         met = rows.join(leader.select("token", F.col("l.p").alias("l"), F.col("l.component").alias("of")), "token")
         met = met.where((F.col("component") != F.col("of")) & passes("p", "l", t))
-        # one leader a set: the same for all of a group as far as can be
-        pairs = met.groupBy(F.col("p.key").alias("k")).agg(F.min("l.key").alias("l")).select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b")).distinct()
-        pairs = materialise(pairs, "pairs")
+        ends = met.select(F.col("p.key").alias("k"), F.struct("l.weight", "l.key").alias("l"), F.least("p.key", "l.key").alias("a"), F.greatest("p.key", "l.key").alias("b"))
+        if tried is not None:
+            ends = ends.join(tried, ["a", "b"], "left_anti")
+        # the foremost of its leaders, which is the same one for most of a group
+        pairs = materialise(ends.groupBy("k").agg(F.max("l").alias("l")).select(F.least("k", "l.key").alias("a"), F.greatest("k", "l.key").alias("b")).distinct(), "pairs")
         good = materialise(verified(pairs, profiles, t), "verified")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
-        labels = materialise(connected_components(found), "labels")
+        labels = _merged(labels, good)
     rows = materialise(_labelled(posted, labels), "labelled")
     each = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
     most = each.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("components")).where("components > 1").select("token", F.col("m.component").alias("largest"))
@@ -236,7 +243,21 @@ def set_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "t
     few = open_rows.where("component <> largest").select("token", F.col("component").alias("c"), F.col("p").alias("q"))
     rest = open_rows.join(few, "token").where((F.col("component") != F.col("c")) & ((F.col("component") == F.col("largest")) | (F.col("p.key") < F.col("q.key"))) & passes("p", "q", t))
     pairs = rest.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return found.unionByName(materialise(verified(pairs, profiles, t), "verified"))
+    good = materialise(verified(pairs, profiles, t), "verified")
+    return found.unionByName(good), _merged(labels, good)
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: components are joined up by pairs of components, each once."""
+    if labels is None:
+        return materialise(connected_components(links.select("a", "b")), "labels")
+    names = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+    ends = links.select("a", "b").join(names[0], "a", "left").join(names[1], "b", "left")
+    pairs = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    joined = connected_components(pairs)
+    old = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = joined.join(labels.select("node"), "node", "left_anti")
+    return materialise(old.unionByName(new), "labels")
 
 
 def _labelled(posted: DataFrame, labels: DataFrame | None) -> DataFrame:

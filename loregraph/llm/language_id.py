@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.llm.common import hash_sample
 from loregraph.llm.shingles import texts_of
 
 WINDOW = 256
@@ -142,11 +143,12 @@ STRETCH = 2048
 
 def fit(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteCnn | None:
     """Train on at most ``sample`` rows that have a label and aren't held out; None where there are none."""
-    key = F.xxhash64(F.lit("language"), F.col(id_col), F.col(text))
     size = F.length(text)
+    key = F.xxhash64(F.lit("language"), F.col(id_col))
     place = F.when(size > STRETCH, F.pmod(F.xxhash64(key), size - STRETCH) + 1).otherwise(1).cast("int")
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(id_col))
-    chosen = rows.select(key.alias("key"), F.col(lang).alias("lang"), F.substring(F.col(text), place, F.lit(STRETCH)).alias("text")).orderBy("key", "lang", "text").limit(sample).collect()
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(id_col))
+    part = F.substring(F.col(text), place, F.lit(STRETCH))
+    chosen = hash_sample(rows.select(F.col(id_col), F.col(lang).alias("lang"), part.alias("text")), key, sample).where(F.col("text").rlike(r"\p{L}")).orderBy("key").collect()
     return train([r["text"].encode() for r in chosen], [r["lang"] for r in chosen]) if chosen else None
 
 

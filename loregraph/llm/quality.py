@@ -126,7 +126,7 @@ STRETCH = 6144
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> CompressionModel | None:
     """Train on at most ``sample`` rows of each label that aren't held out."""
-    key = F.xxhash64(F.lit("quality"), F.col(id_col), F.col(text))
+    key = F.xxhash64(F.lit("quality"), F.col(id_col))
     size = F.length(text)
     place = F.when(size > STRETCH, F.pmod(F.xxhash64(key), size - STRETCH) + 1).otherwise(1).cast("int")
     marks = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).alias("__label"))
@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "d
     order = F.xxhash64(F.lit("quality"), F.col("__id"))
     picked = [marks.where(F.col("__label") == q).orderBy(order, "__id").limit(sample) for q in (0, 1)]
     chosen = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(picked[0].unionByName(picked[1])), F.col(id_col) == F.col("__id"))
-    rows = chosen.select(key.alias("key"), F.col("__label").cast("int").alias("label"), F.substring(F.col(text), place, F.lit(STRETCH)).alias("text")).orderBy("key", "label", "text").limit(2 * sample).collect()
+    part = F.substring(F.col(text), place, F.lit(STRETCH))
+    rows = chosen.groupBy(key.alias("key"), F.col("__label").cast("int").alias("label")).agg(F.min(part).alias("text")).orderBy("key").limit(2 * sample).collect()
     return train([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows])
 
 

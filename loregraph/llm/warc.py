@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import committed_output, filesystem, new_folder, ordered_shards, shuffle_partitions
+from loregraph.llm.common import committed_output, filesystem, hash_sample, new_folder, ordered_shards, shuffle_partitions
 
 #: The skippable frame that carries a dictionary at the head of an archive. Fixed value.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -185,13 +185,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 1
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    drawn = rows.select(F.xxhash64("page_id", "url").alias("key"), F.substring("payload", 1, 16 << 10).alias("part")).where(F.octet_length("part") > 0)
-    dictionary = train_dictionary([bytes(r["part"]) for r in drawn.orderBy("key", "part").limit(sample).collect()])
-    refers = responses(rows, least_bytes).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first")
-    marked = rows.withColumn("digest", F.sha2("payload", 256)).join(refers, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
-    copy = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
-    placed = marked.select("page_id", "url", F.when(copy, F.col("first")).alias("refers_to"), "payload")
-    ordered = ordered_shards(placed, "page_id", shards or shuffle_partitions(spark), ["url"])
+    drawn = hash_sample(rows.select("page_id", "url", F.substring("payload", 1, 16 << 10).alias("part")), F.xxhash64("page_id", "url"), sample)
+    dictionary = train_dictionary([bytes(r["part"]) for r in drawn.orderBy("key").collect() if r["part"]])
+    # which page a copy refers to goes to its shard as a row of its own, before it: payloads are dealt once
+    refers = responses(rows, least_bytes).where("page_id IS NULL OR page_id <> first")
+    both = rows.withColumns({"digest": F.lit(None).cast("string"), "first": F.lit(None).cast("bigint"), "is_page": F.lit(1)})
+    both = both.unionByName(refers.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first", F.lit(0).alias("is_page")))
+    ordered = ordered_shards(both, "page_id", shards or shuffle_partitions(spark), ["is_page", "url"])
     names = ["page_id", "shard", "at", "bytes"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -210,9 +210,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 1
             head = dictionary_frame(dictionary)
             stream.write(head)
             at = len(head)
+            now, known = object(), {}
             while batch is not None:
                 found = []
-                for page_id, address, refers_to, body in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "payload")), strict=True):
+                for page_id, address, body, digest, first, is_page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "is_page")), strict=True):
+                    if page_id != now:
+                        now, known = page_id, {}
+                    if not is_page:
+                        known[digest] = first
+                        continue
+                    refers_to = known.get(hashlib.sha256(body).hexdigest()) if known else None
                     frame = compressor.compress(make_record(page_id, address, body, refers_to, date))
                     stream.write(frame)
                     found.append((page_id, shard, at, len(frame)))
