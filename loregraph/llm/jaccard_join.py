@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import materialise, shuffle_partitions
-from loregraph.llm.components import connected_components
+from loregraph.llm.components import merged
 from loregraph.llm.shingles import set_key, shingle_sets
 
 #: Shingles that a task holds before it deals them out.
@@ -234,7 +234,7 @@ def set_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "t
         good = materialise(verified(pairs, profiles, t), "verified")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
-        labels = _merged(labels, good)
+        labels = merged(labels, good)
     rows = materialise(_labelled(posted, labels), "labelled")
     each = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
     most = each.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("components")).where("components > 1").select("token", F.col("m.component").alias("largest"))
@@ -244,20 +244,7 @@ def set_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "t
     rest = open_rows.join(few, "token").where((F.col("component") != F.col("c")) & ((F.col("component") == F.col("largest")) | (F.col("p.key") < F.col("q.key"))) & passes("p", "q", t))
     pairs = rest.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     good = materialise(verified(pairs, profiles, t), "verified")
-    return found.unionByName(good), _merged(labels, good)
-
-
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links: components are joined up by pairs of components, each once."""
-    if labels is None:
-        return materialise(connected_components(links.select("a", "b")), "labels")
-    names = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
-    ends = links.select("a", "b").join(names[0], "a", "left").join(names[1], "b", "left")
-    pairs = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    joined = connected_components(pairs)
-    old = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-    new = joined.join(labels.select("node"), "node", "left_anti")
-    return materialise(old.unionByName(new), "labels")
+    return found.unionByName(good), merged(labels, good)
 
 
 def _labelled(posted: DataFrame, labels: DataFrame | None) -> DataFrame:

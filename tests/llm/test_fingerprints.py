@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from loregraph.llm.fingerprints import edited_fingerprints, fingerprint, fingerprints, likeness, near_pairs
+from loregraph.llm.fingerprints import SCALE_STARTS, edited_fingerprints, fingerprint, fingerprints, likeness, likenesses, near_pairs
 
 
 def words(rng, n):
@@ -66,3 +66,44 @@ def test_near_pairs(spark):
         root[r["b"]] = min(root[r["b"]], r["a"])
     assert all(root[r] < 10 * (r // 10) + 2 for r, _ in rows)
     assert len({root[root[r]] for r, _ in rows}) == len(base)
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {n: top(n) for n in nodes}
+
+
+def test_near_pairs_among_unrelated_texts_of_their_bands(spark):
+    rng = random.Random(8)
+    last = int(SCALE_STARTS[8] - SCALE_STARTS[7])
+    rows = []
+    for g in range(4):  # all of a group share every band, but its last scale tells them apart
+        head = "".join(rng.choice("0123456789abcdef") for _ in range(int(SCALE_STARTS[7])))
+        tails = ["".join(rng.choice("0123456789abcdef") for _ in range(last)) for _ in range(45)]
+        for k, tail in enumerate(tails):
+            rows.append((1000 * g + k, head + tail))
+            if k > 30:  # near texts of larger ids only
+                rows.append((1000 * g + 100 + k, head + tail[:-3] + "".join(rng.choice("0123456789abcdef") for _ in range(3))))
+    rows += [(5000, rows[0][1]), (5001, rows[-1][1]), (None, rows[0][1]), (rows[7][0], rows[-1][1][:-1] + "0")]
+    found = near_pairs(spark.createDataFrame(rows, "doc_id bigint, fingerprint string")).collect()
+    named = [r for r in rows if r[0] is not None]
+    near = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(named) for b, y in named[:i] if a != b and likeness(x, y) >= 0.8}
+    assert {(r["a"], r["b"]) for r in found} <= near and len(found) == len({(r["a"], r["b"]) for r in found})
+    ids = {d for d, _ in named}
+    assert components(ids, [(r["a"], r["b"]) for r in found]) == components(ids, near)
+
+
+def test_likenesses_are_likeness():
+    rng = random.Random(9)
+    prints = fingerprints(["", "a", "ab"] + [words(rng, n) for n in (1, 3, 40, 41, 300)])
+    pairs = [(a, b) for a in prints for b in prints]
+    assert likenesses(*map(list, zip(*pairs))).tolist() == pytest.approx([likeness(a, b) for a, b in pairs])
