@@ -4,7 +4,7 @@
 DataFrame that is written as Parquet and read again as the next one's ``docs``.  All but the
 last return the columns of ``docs``.
 
-Ids should be distinct: rows of equal id and text count as one from the third stage on.
+Ids may be null or repeat; rows equal in all columns count as one from the third stage on.
 """
 
 from __future__ import annotations
@@ -34,10 +34,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    groups = jaccard_join.jaccard_components(docs)
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each component of near copies the document with the smallest id stays, of several with this id one.
+
+    Rows with a null id come last.
+    """
+    hashed = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.withColumn("__row", hashed)
+    groups = jaccard_join.jaccard_components(rows, id_col="__row").distinct()
+    named = groups.join(rows.select("__row", F.col("doc_id").alias("id")).distinct(), F.col("doc_id") == F.col("__row"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "__row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,13 +56,24 @@ def mix(docs: DataFrame, seed: str = "mix", parts: int = 1024, weights: tuple[fl
     ``epochs``: how often the whole row is taken; ``taken``: words in all, with those of
     the last, partial time.  ``parts``: ranges of the key, a power of 16.
     """
+    rows = planned(docs, seed, parts, weights, most, id_col, source, text)
+    partial = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs") + partial).cast("bigint").alias("taken"))
+
+
+def planned(docs: DataFrame, seed: str, parts: int, weights: tuple[float, ...], most: int, id_col: str, source: str, text: str) -> DataFrame:
+    """(doc_id, source, content, size, source_size, target, epochs, rest, at) of every row.
+
+    ``at``: words before the row in its source's order; ``rest``: words that the last,
+    partial time takes of the source.
+    """
     digits = max(1, (parts - 1).bit_length() + 3 >> 2)
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("content"))
     targets = source_targets(sizes, weights, most)
     budgets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
     budgets = budgets.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("bigint"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "content"))
-    keyed = sizes.withColumn("key", key).withColumn("part", F.substring("key", 1, digits)).drop("content")
+    keyed = sizes.withColumn("key", key).withColumn("part", F.substring("key", 1, digits))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows a source
     sums = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     starts = sums.select("source", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"))
@@ -71,20 +82,28 @@ def mix(docs: DataFrame, seed: str = "mix", parts: int = 1024, weights: tuple[fl
     running = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     on = (F.col("k.part") == F.col("p.part")) & F.col("k.source").eqNullSafe(F.col("p.source"))
     at = F.col("start") + F.col("inside")
-    partial = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - at))
     rows = running.alias("k").join(plan.alias("p"), on)
-    return rows.select("doc_id", F.col("k.source").alias("source"), "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs") + partial).cast("bigint").alias("taken"))
+    return rows.select("doc_id", F.col("k.source").alias("source"), "content", "size", "source_size", "target", "epochs", "rest", at.alias("at"))
 
 
-def mixed_rows(docs: DataFrame, seed: str = "mix", parts: int = 1024, text: str = "text", id_col: str = "doc_id", source: str = "source", n_chars: str = "n_chars", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, seed: str = "mix", parts: int = 1024, text: str = "text", id_col: str = "doc_id", source: str = "source", n_chars: str = "n_chars", weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of the mix itself, with the columns of ``docs``: repeated by epoch, the last cut to its words.
 
-    The rows of one id, source and size are one to the mix, so ids should be distinct.
+    Rows are told apart by id, source and text, so ids may be null or repeat.  Rows equal in
+    all three stand side by side in the mix; the cut falls among them in the order of their
+    other columns (but maps, which have no order).
     """
-    plan = mix(docs, seed, parts, id_col=id_col, source=source, text=text, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("epochs").alias("__epochs"), F.col("taken").alias("__taken")).where("__taken > 0").dropDuplicates(["__id"])
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")))
-    part = F.col("__taken") - F.col("__size") * F.col("__epochs")
-    times = joined.withColumn("__words", F.explode(F.concat(F.array_repeat("__size", F.col("__epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
+
+    def row_key(doc, of, content):
+        return F.md5(F.to_json(F.struct(doc.cast("string").alias("i"), of.cast("string").alias("s"), content.alias("c"))))
+
+    plan = planned(docs, seed, parts, weights, most, id_col, source, text).where("size > 0 AND (epochs > 0 OR rest > at)")
+    plan = plan.groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("content")).alias("__row")).agg(*[F.min(c).alias(f"__{c}") for c in ("size", "epochs", "rest", "at")])
+    joined = docs.withColumn("__row", row_key(F.col(id_col), F.col(source), F.md5(F.coalesce(F.col(text), F.lit(""))))).join(plan, "__row")
+    others = [f.name for f in docs.schema if f.name not in (id_col, source, text) and "map<" not in f.dataType.simpleString()]
+    before = F.row_number().over(Window.partitionBy("__row").orderBy(*others, F.lit(0))) - 1  # equal rows ahead of this one
+    part = F.least(F.col("__size"), F.greatest(F.lit(0), F.col("__rest") - F.col("__at") - F.col("__before") * F.col("__size")))
+    times = joined.withColumn("__before", before).withColumn("__words", F.explode(F.concat(F.array_repeat("__size", F.col("__epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     cut = F.when(F.col("__words") >= F.col("__size"), F.col(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), 1, F.col("__words").cast("int")), " "))
     rows = times.withColumn(text, cut)
     if n_chars in docs.columns:

@@ -43,3 +43,25 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string, taken int")
     assert mix(docs).collect() == []
     assert mixed_rows(docs).collect() == []
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    rows = [(None if i % 2 else 7, "w " * (1 + i % 9) + f"t{i}", "ab"[i % 3 > 0], "x") for i in range(120)]
+    rows += [(9, "one two three", s, "x") for s in "aabbbbbb"] + [(9, "one two three", "b", "y"), (None, "null source", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    want, found = defaultdict(int), defaultdict(int)
+    for r in mix(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    taken = mixed_rows(docs).select("doc_id", "source", "text", word_count("text").alias("n")).collect()
+    whole = {(d, s, t): len(t.split()) for d, t, s, _ in rows}
+    starts = {}
+    for r in taken:  # each is a row, or the one at its source's cut
+        key = (r["doc_id"], r["source"], r["text"])
+        if key not in whole:
+            assert starts.setdefault(r["source"], key) == key
+        found[r["source"]] += r["n"]
+    by = defaultdict(int)
+    for (_, s, _), n in want.items():
+        by[s] += n
+    assert found == by
+    assert len(taken) > len(rows) // 2 and sorted(map(str, taken)) == sorted(map(str, mixed_rows(docs.repartition(3)).select("doc_id", "source", "text", word_count("text").alias("n")).collect()))

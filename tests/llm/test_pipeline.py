@@ -37,3 +37,13 @@ def test_stages(spark):
         found = library.encode(r.text, add_special_tokens=False).ids
         want[r.doc_id, len(found), hashlib.sha256(",".join(map(str, found)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()] += 1
     assert Counter(map(tuple, outs[5].collect())) == want
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, long, "a"), (None, long + " end", "a"), (3, other, "b"), (3, "alone " * 9, "b"), (3, other, "c"), (2, other + " end", "a"), (None, "on its own " * 3, "a"), (None, "", "a"), (None, long, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert len(found) == 5
+    assert {(None, "", "a"), (None, "on its own " * 3, "a"), (3, "alone " * 9, "b"), (2, other + " end", "a")} < set(found)
+    assert len(set(found) & {(None, long, "a"), (None, long + " end", "a")}) == 1
