@@ -15,14 +15,23 @@ from pyspark.sql import functions as F
 from loregraph.llm import bpe, jaccard_join, language_id, mixing, quality
 from loregraph.llm.common import materialise
 
-#: A text whose best language scores less is rejected: it is no text of a known language.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A text is rejected, as of no known language, if its best language's score goes less than this
+#: part of the way from chance, one in the number of languages, to certainty.
+LEAST_ABOVE_CHANCE = 1 / 15
+
+
+def least_language_score(languages: int) -> float:
+    """The least score of a kept text: 0.3 of four languages; a single one is always certain."""
+    chance = 1 / max(1, languages)
+    return chance + (1 - chance) * LEAST_ABOVE_CHANCE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no language that the labels know."""
-    found = language_id.identify(docs, language_id.fit(docs), names=("__lang", "__score"))
-    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model, names=("__lang", "__score"))
+    least = least_language_score(len(model.languages) if model else 0)
+    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from loregraph.llm import language_id, mixing, quality
 from tests.llm.test_jaccard_join import brute
@@ -39,6 +42,21 @@ def test_stages(spark):
     assert Counter(map(tuple, outs[5].collect())) == want
 
 
+@pytest.mark.parametrize("count", [2, 3, 4, 40])
+def test_language_least_score_is_above_chance(spark, monkeypatch, count):
+    names = [f"l{i}" for i in range(count)]
+    zero = [np.zeros((w, 256, language_id.FILTERS), np.float32) for w in language_id.WIDTHS]
+    pooled = language_id.FILTERS * len(zero)
+    docs = spark.createDataFrame([(1, "a text", "l0")], "doc_id bigint, text string, lang string")
+    kept = []
+    for lean in (0.0, 3.0):  # a model that doesn't know the text, and one that leans to a language
+        offset = np.array([lean] + [0.0] * (count - 1), np.float32)
+        model = language_id.ByteCnn(names, zero, np.zeros(pooled, np.float32), np.zeros((pooled, count), np.float32), offset)
+        monkeypatch.setattr(language_id, "fit", lambda docs, model=model: model)
+        kept.append(corpus_pipeline.language(spark, docs, SF).count())
+    assert kept == [0, 1]
+
+
 def test_near_copies_of_null_and_repeated_ids(spark):
     long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     rows = [(None, long, "a"), (None, long + " end", "a"), (3, other, "b"), (3, "alone " * 9, "b"), (3, other, "c"), (2, other + " end", "a"), (None, "on its own " * 3, "a"), (None, "", "a"), (None, long, "a")]
