@@ -7,8 +7,8 @@ probabilities.  A text's probabilities are the mean over all its windows, so who
 count and memory depends on the window alone.  For speed two neighbouring bytes' weights
 are summed in a table beforehand.
 
-Training: a sample of at most ``sample`` labelled rows (a documented bound), chosen by a
-hash of the id, with a stretch of each at a place that the hash chooses.  ``lang``,
+Training: a sample of at most ``sample`` rows of each language (a documented bound), chosen
+by a hash of the id, with all windows of a stretch of each at a place that the hash chooses.  ``lang``,
 ``source`` and the id are never inputs.
 
 Defined results: null text or text without a letter is ``und`` with score 1; rows with a
@@ -22,10 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import hash_sample
 from loregraph.llm.shingles import texts_of
 
 WINDOW = 256
@@ -93,7 +92,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 7,
     """Fit the network by Adam on the windows of ``texts``."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    windows = [cut(np.frombuffer(t, np.uint8))[:8] for t in texts]
+    windows = [cut(np.frombuffer(t, np.uint8)) for t in texts]
     y = np.repeat([languages.index(x) for x in labels], [len(w) for w in windows])
     x = np.concatenate(windows)
     names = [*range(len(WIDTHS)), "bias", "dense", "offset"]
@@ -142,13 +141,19 @@ STRETCH = 2048
 
 
 def fit(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteCnn | None:
-    """Train on at most ``sample`` rows that have a label and aren't held out; None where there are none."""
+    """Train on at most ``sample`` rows of each language that aren't held out; None where there are none."""
     size = F.length(text)
     key = F.xxhash64(F.lit("language"), F.col(id_col))
     place = F.when(size > STRETCH, F.pmod(F.xxhash64(key), size - STRETCH) + 1).otherwise(1).cast("int")
-    rows = docs.where(F.col(lang).isNotNull() & ~held_out(id_col))
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(id_col) & F.col(text).rlike(r"\p{L}"))
+    # ranked by the hash alone, first in slices, so that no task ranks a whole language
+    keys = rows.select(F.col(lang).alias("lang"), key.alias("key")).distinct()
+    for by in (("lang", F.pmod("key", F.lit(64))), ("lang",)):
+        keys = keys.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("rank") <= sample).drop("rank")
+    cutoffs = keys.groupBy("lang").agg(F.max("key").alias("most"))
     part = F.substring(F.col(text), place, F.lit(STRETCH))
-    chosen = hash_sample(rows.select(F.col(id_col), F.col(lang).alias("lang"), part.alias("text")), key, sample).where(F.col("text").rlike(r"\p{L}")).orderBy("key").collect()
+    near = rows.select(F.col(lang).alias("lang"), key.alias("key"), part.alias("text")).join(F.broadcast(cutoffs), "lang").where("key <= most")
+    chosen = near.groupBy("lang", "key").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"\p{L}")).orderBy("key", "lang").collect()
     return train([r["text"].encode() for r in chosen], [r["lang"] for r in chosen]) if chosen else None
 
 

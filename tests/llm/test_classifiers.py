@@ -30,6 +30,20 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0), model).collect() == []
 
 
+def test_rare_languages_and_late_windows_are_learned(spark):
+    import numpy as np
+
+    rows = [(i, f"the cat and the dog number {i} are here " * 3, "en") for i in range(900)] + [(i + 5000, "кот и собака всегда здесь дома " * 3, "ru") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs, sample=40)
+    assert model.languages == ["en", "ru"]
+    assert {r["lang_pred"] for r in language_id.identify(docs, model).where("lang = 'ru'").collect()} == {"ru"}
+    same = b"0" * 2048
+    model = language_id.train([same + x * 4096 for x in (b"a", b"b") for _ in range(40)], ["a"] * 40 + ["b"] * 40)
+    late = model.probabilities(np.frombuffer(b"a" * 256 + b"b" * 256, np.uint8).reshape(2, 256), model.prepare())
+    assert late[0, 0] > 0.8 and late[1, 1] > 0.8
+
+
 def test_quality_held_out(spark):
     found = quality.op9_quality(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
