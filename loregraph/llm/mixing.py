@@ -33,6 +33,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     Sources in ascending code-point order, null last, take ``weights`` in turn.  The share
     of a weight is found by going up the sources in the order in which they reach their
     limit: the limits reached so far leave a rest for the weights that remain.
+
+    One task ranks the sources and makes their running sums, from one short row a source. So
+    their number is assumed to fit a task, a million at most; the number of documents isn't.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
