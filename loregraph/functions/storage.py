@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is local."""
+    """URI of the folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is local (tests) is a temporary folder made and set.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
@@ -20,8 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that loops don't grow the plan."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def persisted(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``persisted`` gave and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["written_to"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
