@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,33 +10,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loregraph.functions.storage import discard, new_folder, shared_folder
+from loregraph.functions.storage import persisted as materialise
 
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors see.
+__all__ = ["committed_output", "discard", "filesystem", "hash_sample", "materialise", "new_folder", "ordered_shards", "range_bounds", "shard_of", "shared_folder", "shuffle_partitions", "unused_name"]
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``.  Only where
-    that is unset and the master is local (tests) is a temporary folder made and set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="loregraph-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def unused_name(name: str, *taken: str) -> str:
+    """``name``, or the first of name_, name__ ... that none of ``taken`` is, in any case."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

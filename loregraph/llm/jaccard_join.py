@@ -1,163 +1,205 @@
 """N-gram Jaccard join (operator 2): rare-first prefix filtering over word shingles.
 
-1. *Counts.* Each task hashes its texts' shingles and deals them, packed, into ranges of
-   the hash.  A range's task finds in how many different shingle sets each shingle occurs
-   and answers only those that occur in two or more, by set.  Documents with equal sets
-   are one set from the start, so a large group of copies counts once.
-2. *Prefixes.* Shingles are ordered rare first.  Those of one set alone come before all
-   others and match nothing.  A set whose shared shingles are fewer than the threshold
-   asks of any partner is done.  Of the rest, each set's prefix of n - ceil(t n) + 1
-   shingles, without its own ones, is posted under its shingles.
+1. *Counts.* A task hashes its texts' shingles and deals them, packed, into ranges of the
+   hash.  A pack has a range's shingles of one *packet*, some million shingles of documents
+   that follow each other, and tells which document of the packet each is of.  A range's
+   task counts all its shingles and sends back, to each packet, those that two or more
+   documents have, with their counts.  So rows are packets times ranges, whatever the number
+   of documents, and the texts are read once.
+2. *Prefixes.* Shingles are ordered rare first.  Those of one document alone come before all
+   others and match nothing.  A set whose shared shingles are fewer than the threshold asks
+   of any partner is done.  Of the rest, each set's prefix of n - ceil(t n) + 1 shingles,
+   without its own ones, is posted under its shingles.  Documents with equal sets are one
+   set from here on.
 3. *Links.* Candidates share a posted shingle and pass the length filter, the positional
    filter (what is left after the shared shingle) and the suffix filter (how the shingles
    fall into hash classes bounds the overlap).  Every candidate pair is verified once, by
-   the exact overlap.  Two rounds first verify each set against one leader of its
-   postings; then the candidates whose ends are in different components are verified,
-   whatever their number.  A pair within a component can't change the components and is
-   not made, so a group of near copies costs its size and not its square.
+   the exact overlap.  ``LEADER_ROUNDS`` rounds first verify each set against one leader of
+   its postings; then the candidates whose ends are in different components are verified,
+   whatever their number, dealt by shingle and length.  A pair within a component can't
+   change the components and is not made, so a group of near copies costs its size and not
+   its square.
 
 Shingles are 64-bit hashes of whole words.  In the join a shingle is its range and 40 more
 bits, so the chance that two of a pair's differing shingles are mistaken for each other is
 about 10**-8 for texts of 500 words; sets are told apart by 128 bits.
 
+Packets are told apart by the place of their first row in the input.  A packet whose parts
+don't add up, because a task that ran again got its rows in another order, is an error and
+not a loss: such an input (one that a shuffle made) is to be written as a table first.
+
 Defined results: a text without words, empty or null, has an empty set and links with
 nothing, itself excepted; texts with fewer words than a shingle have one shingle of all
 their words; rows with equal texts are linked; a null id is passed over where the smallest
-id of a component is taken, unless there is no other.
+id of a component is taken, unless there is no other; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import materialise, shuffle_partitions
+from loregraph.llm.common import discard, materialise, shuffle_partitions
 from loregraph.llm.components import merged
 from loregraph.llm.shingles import set_key, shingle_sets
 
-#: Shingles that a task holds before it deals them out.
+#: Shingles that a packet holds, and documents at most.
 HELD = 1 << 20
+MOST_DOCS = 60_000
 #: Hash classes of the suffix filter.
 CLASSES = 8
+#: Counts are told apart up to this: enough for an order that is the same for all sets.
+MOST_COUNT = 65_535
+HEAD = ("ids", "has_id", "keys", "sizes")
+PACK = "packet bigint, mark bigint, range int, owners binary, low binary, more binary"
+ANSWER = "packet bigint, mark bigint, range int, whole int, owners binary, low binary, more binary, counts binary"
+HEADS = ", ".join(f"{c} binary" for c in HEAD)
 
 
-def shingle_counts(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of every row; the key is null for an empty set."""
+def packed_owners(owners: np.ndarray) -> bytes:
+    """Ascending numbers as steps of one or two bytes; how many follows from the length."""
+    steps = np.diff(owners, prepend=0)
+    return steps.astype(np.uint8 if not len(steps) or steps.max() < 256 else "<u2").tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for _, hashes in shingle_sets(batch.column("text"), width):
-                sizes.append(len(hashes))
-                keys.append(set_key(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "set_key"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "doc_id bigint, n_shingles bigint, set_key binary")
+def unpacked_owners(data: bytes, count: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8 if len(data) == count else "<u2"), dtype=np.int64)
 
 
-def shared_shingles(docs: DataFrame, width: int, text: str, ranges: int) -> DataFrame:
-    """(set_key, n, tokens, counts): by set, its shingles that other sets have too.
+def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, text: str, ranges: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, weight, tokens) of every row.
 
-    ``tokens`` are longs; ``counts`` say in how many sets each occurs.
+    ``tokens``: the shingles that other documents have too, rare first, if they are as many as
+    a partner at ``percent`` needs; else none.  ``weight``: how many documents have a shingle,
+    on average.  The key is null for an empty set.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, 0
+        ids: list = []
         sets: list[np.ndarray] = []
-        keys: list[bytes] = []
-        held = 0
         for batch in batches:
-            for _, hashes in shingle_sets(batch.column("text"), width):
-                if len(hashes):
-                    sets.append(hashes)
-                    keys.append(set_key(hashes))
-                    held += len(hashes)
-                    if held >= HELD:
-                        yield dealt(sets, keys)
-                        sets, keys, held = [], [], 0
+            names = batch.column("doc_id")
+            for at, hashes in shingle_sets(batch.column("text"), width):
+                ids.append(names[at].as_py())
+                sets.append(hashes)
+                held += len(hashes)
+                if held >= HELD or len(sets) >= MOST_DOCS:
+                    yield dealt(part << 24 | number, ids, sets)
+                    ids, sets, held, number = [], [], 0, number + 1
         if sets:
-            yield dealt(sets, keys)
+            yield dealt(part << 24 | number, ids, sets)
 
-    def dealt(sets: list[np.ndarray], keys: list[bytes]) -> pa.RecordBatch:
+    def dealt(packet: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
+        head = (
+            np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(),
+            b"".join(set_key(s) for s in sets), sizes.astype("<u4").tobytes(),
+        )
+        mark = int.from_bytes(hashlib.blake2b(b"".join(head), digest_size=8).digest(), "little", signed=True)
         hashes = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), sizes)
         at = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
-        order = np.argsort(at, kind="stable")
-        at, hashes, owner = at[order], hashes[order], owner[order]
-        names = np.frombuffer(b"".join(keys), "V16")
+        order = np.argsort(at, kind="stable")  # within a range by document
+        cuts = np.searchsorted(at[order], np.arange(ranges + 1))
+        hashes, owners = hashes[order], np.repeat(np.arange(len(sets)), sizes)[order]
         rows = []
-        cuts = np.searchsorted(at, np.arange(ranges + 1))
-        for r in np.flatnonzero(np.diff(cuts)):
-            own = owner[cuts[r] : cuts[r + 1]]
+        for r in np.flatnonzero(np.diff(cuts)).tolist() or [0]:
             part = hashes[cuts[r] : cuts[r + 1]]
-            here, each = np.unique(own, return_counts=True)
-            low = (part & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
             # the range is a function of the upper 32 bits; 8 of the rest of them tell more
-            more = (splitrest(part)).tobytes()
-            rows.append((int(r), names[here].tobytes(), sizes[here].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low, more))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "keys", "sizes", "each", "low", "more"])
+            low, more = part.astype("<u4"), (part >> np.uint64(32)).astype(np.uint8)
+            rows.append((packet, mark, r, packed_owners(owners[cuts[r] : cuts[r + 1]]), low.tobytes(), more.tobytes(), *((None,) * 4 if rows else head)))
+        return batch_of(rows, f"{PACK}, {HEADS}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("range", "keys", "sizes", "each", "low", "more")]
-            for r, *part in zip(*columns, strict=True):
-                if r != now and parts:
-                    yield from counted(now, parts)
+            for part in batch.to_pylist():
+                if part["range"] != now and parts:
+                    yield from counted(parts)
                     parts = []
-                now = r
+                now = part["range"]
                 parts.append(part)
         if parts:
-            yield from counted(now, parts)
-
-    def counted(r: int, parts: list) -> Iterator[pa.RecordBatch]:
-        keys, sizes, each, low, more = (b"".join(x) for x in zip(*parts, strict=True))
-        keys, sizes, each = np.frombuffer(keys, "V16"), np.frombuffer(sizes, "<u4"), np.frombuffer(each, "<u4")
-        named, first, which = np.unique(np.frombuffer(keys.tobytes(), "<u8").reshape(-1, 2), axis=0, return_index=True, return_inverse=True) if len(keys) else (None, np.zeros(0, int), np.zeros(0, int))
-        which = which.reshape(-1)
-        # copies of a set answer as one: keep each set's first entry
-        keep = np.zeros(len(keys), bool)
-        keep[first] = True
-        tokens = np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(more, np.uint8).astype(np.uint64) << np.uint64(32)
-        own = np.repeat(np.arange(len(keys)), each)
-        chosen = keep[own]
-        tokens, own = tokens[chosen], own[chosen]
-        distinct, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        counts = counts[back]
-        shared = counts > 1
-        tokens, own, counts = tokens[shared] | np.uint64(r) << np.uint64(40), own[shared], counts[shared]
-        if not len(tokens):
-            return
-        order = np.argsort(own, kind="stable")
-        tokens, own, counts = tokens[order], own[order], counts[order]
-        here, starts = np.unique(own, return_index=True)
-        offsets = np.append(starts, len(own)).astype(np.int32)
-        for at in range(0, len(here), 20_000):
-            upto = min(at + 20_000, len(here))
-            cut = slice(offsets[at], offsets[upto])
-            lists = [pa.ListArray.from_arrays(pa.array(offsets[at : upto + 1] - offsets[at], pa.int32()), pa.array(v[cut].astype(k))) for v, k in ((tokens, np.int64), (counts, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i].tobytes() for i in here[at:upto]], pa.binary()), pa.array(sizes[here[at:upto]].astype(np.int64)), *lists], ["set_key", "n", "tokens", "counts"])
-
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(deal, "range int, keys binary, sizes binary, each binary, low binary, more binary")
-    by_range = packed.repartitionById(ranges, F.col("range"))
-    answers = by_range.mapInArrow(count, "set_key binary, n bigint, tokens array<bigint>, counts array<int>")
-    return answers.groupBy("set_key", "n").agg(F.flatten(F.collect_list(F.arrays_zip("counts", "tokens"))).alias("shared"))
-
-
-def splitrest(hashes: np.ndarray) -> np.ndarray:
-    """8 bits of each hash, from its upper half below the bits that choose the range."""
-    return (hashes >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
-
-
-def needed(n: str | int, t: int):
-    """Shingles that a set of ``n`` shares with any partner of ``t`` per cent or more: ceil(t n / 100)."""
-    return F.expr(f"({n} * {t} + 99) div 100")
+            yield from counted(parts)
+
+    def counted(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate([np.frombuffer(p["low"], "<u4").astype(np.uint64) | np.frombuffer(p["more"], np.uint8).astype(np.uint64) << np.uint64(32) for p in parts])
+        order = np.argsort(tokens)
+        ahead = tokens[order]
+        first = np.flatnonzero(np.append(True, ahead[1:] != ahead[:-1])) if len(ahead) else np.zeros(0, np.int64)
+        runs = np.diff(first, append=len(ahead))
+        counts = np.empty(len(tokens), "<u2")
+        counts[order] = np.repeat(np.minimum(runs, MOST_COUNT).astype("<u2"), runs)
+        del order, ahead
+        rows, held, at = [], 0, 0
+        for p in parts:
+            whole = len(p["more"])
+            here = slice(at, at + whole)
+            at += whole
+            shared = counts[here] > 1
+            own = unpacked_owners(p["owners"], whole)[shared]
+            kept = tokens[here][shared]
+            rows.append((p["packet"], p["mark"], p["range"], whole, packed_owners(own), kept.astype("<u4").tobytes(), (kept >> np.uint64(32)).astype(np.uint8).tobytes(), counts[here][shared].tobytes(), *(p[c] for c in HEAD)))
+            held += len(kept)
+            if held >= HELD:
+                yield batch_of(rows, f"{ANSWER}, {HEADS}")
+                rows, held = [], 0
+        yield batch_of(rows, f"{ANSWER}, {HEADS}")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for part in batch.to_pylist():
+                if part["packet"] != now and parts:
+                    yield from gathered(parts)
+                    parts = []
+                now = part["packet"]
+                parts.append(part)
+        if parts:
+            yield from gathered(parts)
+
+    def gathered(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        heads = [p for p in parts if p["sizes"] is not None]
+        sizes = np.frombuffer(heads[0]["sizes"], "<u4").astype(np.int64) if heads else np.zeros(0, np.int64)
+        if len(heads) != 1 or len({p["mark"] for p in parts}) > 1 or sum(p["whole"] for p in parts) != sizes.sum():
+            raise RuntimeError("the input's rows came in another order when a task ran again: write it as a table first")
+        head = heads[0]
+        keys = np.frombuffer(head["keys"], "V16")
+        ids = pa.array(np.frombuffer(head["ids"], "<i8"), pa.int64(), mask=np.frombuffer(head["has_id"], np.uint8) == 0)
+        owners = np.concatenate([unpacked_owners(p["owners"], len(p["more"])) for p in parts])
+        tokens = np.concatenate([np.frombuffer(p["low"], "<u4").astype(np.int64) | np.frombuffer(p["more"], np.uint8).astype(np.int64) << 32 | p["range"] << 40 for p in parts])
+        counts = np.concatenate([np.frombuffer(p["counts"], "<u2") for p in parts])
+        shared = np.bincount(owners, minlength=len(sizes))
+        weights = np.bincount(owners, counts, minlength=len(sizes)) / np.maximum(sizes, 1)
+        enough = (shared * 100 >= sizes * percent) & (sizes > 0)
+        kept = enough[owners]
+        owners, tokens, counts = owners[kept], tokens[kept], counts[kept]
+        order = np.lexsort((tokens, counts, owners))
+        tokens = tokens[order]
+        offsets = np.append(0, np.cumsum(np.where(enough, shared, 0)))
+        for at in range(0, len(sizes), 4096):
+            upto = min(at + 4096, len(sizes))
+            lists = pa.ListArray.from_arrays(pa.array(offsets[at : upto + 1] - offsets[at], pa.int32()), pa.array(tokens[offsets[at] : offsets[upto]]))
+            named = pa.array([keys[i].tobytes() if sizes[i] else None for i in range(at, upto)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids[at:upto], pa.array(sizes[at:upto]), named, pa.array(weights[at:upto]), lists], ["doc_id", "n_shingles", "set_key", "weight", "tokens"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    packs = rows.mapInArrow(deal, f"{PACK}, {HEADS}").repartitionById(ranges, F.col("range"))
+    answers = packs.mapInArrow(count, f"{ANSWER}, {HEADS}").repartition(ranges, "packet").sortWithinPartitions("packet")
+    return answers.mapInArrow(gather, "doc_id bigint, n_shingles bigint, set_key binary, weight double, tokens array<bigint>")
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = [c.split(" ") for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows, strict=True), columns, strict=True)], [c for c, _ in columns])
 
 
 def postings(profiles: DataFrame, t: int) -> DataFrame:
@@ -180,6 +222,11 @@ def passes(a: str, b: str, t: int):
     return length & (left >= least) & (overlap >= least)
 
 
+def length_band(n, t: int):
+    """A number for sets of about ``n`` shingles: those of a pair that passes the length filter differ by 1 at most."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / t) + 1e-9).cast("int") if t < 100 else n.cast("int")
+
+
 def verified(pairs: DataFrame, profiles: DataFrame, t: int) -> DataFrame:
     """Of ``pairs(a, b)`` those whose sets reach the threshold, by the exact overlap."""
     left = profiles.select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
@@ -191,8 +238,10 @@ def verified(pairs: DataFrame, profiles: DataFrame, t: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``percent``: least Jaccard similarity of a link."""
-    sets = shingle_counts(docs, width, id_col, text)
-    labels = set_links(docs, width, percent, text)[1]
+    rows = profiles_of(docs, width, percent, id_col, text)
+    links, labels = set_links(rows, percent)
+    discard(*links)
+    sets = rows.select("doc_id", "n_shingles", "set_key")
     by_set = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     linked = by_set.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -201,50 +250,65 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 
 #: Rounds in which each set meets one leader, before the rest of the candidates is verified.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+
 
+def profiles_of(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``shingle_profiles``, written to the shared folder."""
+    return materialise(shingle_profiles(docs, width, percent, id_col, text, shuffle_partitions(docs.sparkSession)), "profiles")
 
-def set_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links, labels) of different shingle sets.
 
-    ``links(a, b, overlap)`` are verified and join up all components: every pair at or above
-    ``percent`` is one or has both ends in one component.  ``labels(node, component)`` names
-    the components of all sets that have a link.
+def set_links(rows: DataFrame, percent: int = 80) -> tuple[list[DataFrame], DataFrame]:
+    """(links, labels) of the different shingle sets of ``rows``, which ``profiles_of`` made.
+
+    ``links(a, b, overlap)``, a table a round, are verified and join up all components: every
+    pair at or above ``percent`` is one or has both ends in one component.  ``labels(node,
+    component)`` names the components of all sets that have a link.
     """
     t = percent
-    counted = shared_shingles(docs, width, text, shuffle_partitions(docs.sparkSession))
-    enough = counted.where(F.size("shared") >= needed("n", t))
-    rare_first = F.transform(F.array_sort("shared"), lambda x: x["tokens"])
+    able = rows.where(F.size("tokens") > 0).select("set_key", F.col("n_shingles").alias("n"), "weight", "tokens")
     # a set whose shingles many others have is in the middle of its group: it leads
-    weight = F.aggregate("shared", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["counts"]) / F.col("n")
-    profiles = materialise(enough.select("set_key", "n", weight.alias("weight"), rare_first.alias("tokens")), "profiles")
+    profiles = materialise(able.dropDuplicates(["set_key"]), "sets")
     posted = materialise(postings(profiles, t), "postings")
 
-    found = tried = labels = None
+    found: list[DataFrame] = []
+    tried = labels = None
     for _ in range(LEADER_ROUNDS):
-        rows = _labelled(posted, labels)
-        leader = rows.groupBy("token").agg(F.max(F.struct("p", "component")).alias("l"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        met = rows.join(leader.select("token", F.col("l.p").alias("l"), F.col("l.component").alias("of")), "token")
+        labelled = _labelled(posted, labels)
+        leader = labelled.groupBy("token").agg(F.max(F.struct("p", "component")).alias("l"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        met = labelled.join(leader.select("token", F.col("l.p").alias("l"), F.col("l.component").alias("of")), "token")
         met = met.where((F.col("component") != F.col("of")) & passes("p", "l", t))
         ends = met.select(F.col("p.key").alias("k"), F.struct("l.weight", "l.key").alias("l"), F.least("p.key", "l.key").alias("a"), F.greatest("p.key", "l.key").alias("b"))
         if tried is not None:
             ends = ends.join(tried, ["a", "b"], "left_anti")
         # the foremost of its leaders, which is the same one for most of a group
         pairs = materialise(ends.groupBy("k").agg(F.max("l").alias("l")).select(F.least("k", "l.key").alias("a"), F.greatest("k", "l.key").alias("b")).distinct(), "pairs")
-        good = materialise(verified(pairs, profiles, t), "verified")
+        found.append(materialise(verified(pairs, profiles, t), "verified"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = good if found is None else found.unionByName(good)
-        labels = merged(labels, good)
-    rows = materialise(_labelled(posted, labels), "labelled")
-    each = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+        labels = merged(labels, found[-1])
+    labelled = materialise(_labelled(posted, labels), "labelled")
+    discard(posted)
+    rest = open_pairs(labelled, t).join(tried, ["a", "b"], "left_anti")
+    found.append(materialise(verified(rest, profiles, t), "verified"))
+    discard(labelled, profiles)
+    return found, merged(labels, found[-1])
+
+
+def open_pairs(labelled: DataFrame, t: int) -> DataFrame:
+    """(a, b): each pair of postings of one shingle that passes the filters and is in different components.
+
+    Dealt by shingle and by length, as partners are about equally long: so the postings of a
+    very frequent shingle are parted too.  Of these, those outside the largest component meet
+    the others.
+    """
+    each = labelled.groupBy("token", "component").agg(F.count("*").alias("size"))
     most = each.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("components")).where("components > 1").select("token", F.col("m.component").alias("largest"))
-    open_rows = rows.join(most, "token")
-    # of a shingle's sets, those outside its largest component meet all the others
-    few = open_rows.where("component <> largest").select("token", F.col("component").alias("c"), F.col("p").alias("q"))
-    rest = open_rows.join(few, "token").where((F.col("component") != F.col("c")) & ((F.col("component") == F.col("largest")) | (F.col("p.key") < F.col("q.key"))) & passes("p", "q", t))
-    pairs = rest.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    good = materialise(verified(pairs, profiles, t), "verified")
-    return found.unionByName(good), merged(labels, good)
+    rows = labelled.join(most, "token").withColumn("band", length_band(F.col("p.n"), t))
+    near = F.array(*[F.col("band") + d for d in (-1, 0, 1)])
+    few = rows.where("component <> largest").select("token", F.explode(near).alias("band"), F.col("component").alias("c"), F.col("p").alias("q"))
+    once = (F.col("component") == F.col("largest")) | (F.col("p.key") < F.col("q.key"))
+    met = rows.join(few, ["token", "band"]).where((F.col("component") != F.col("c")) & once & passes("p", "q", t))
+    return met.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
 
 
 def _labelled(posted: DataFrame, labels: DataFrame | None) -> DataFrame:

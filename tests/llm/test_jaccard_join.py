@@ -78,6 +78,16 @@ def test_very_long_text_and_repeats(spark):
     assert found[2][1] == len(shingles(long))
 
 
+def test_many_components_under_one_passage(spark):
+    """Sets that share a passage link only within their own small groups."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, f"{passage} " + " ".join(f"g{i // 2}x{k}" for k in range(22 + i % 7)) + (" end" if i % 2 else "")) for i in range(5000)]
+    found = run(spark, rows)
+    assert len(found) == 5000
+    assert all(component in (doc, doc - 1) for doc, _, component in found)
+    assert sum(component < doc for doc, _, component in found) > 2000
+
+
 def test_empty_table_and_null_ids(spark):
     assert run(spark, []) == []
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id bigint, text string")
