@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.llm.chunks import Chunks
+from loregraph.llm.common import quoted, schema_of, unused_name, without
+
 #: GPT-2's published pretoken pattern, which byte-level tokenizer files imply. Fixed value.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A run of blanks and what follows it up to the next. No pretoken reaches over the start of
-#: such a chunk, and a chunk's pretokens don't depend on its neighbours, if all white space is
-#: of these three kinds; other texts are split as a whole.
-CHUNKS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
-OTHER_SPACE = re.compile("[\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
-
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies."""
@@ -49,7 +45,7 @@ def byte_characters() -> list[str]:
 class Bpe:
     """Tables of one tokenizer file: automaton, splits, merges, offsets. Made once in a worker."""
 
-    def __init__(self, path: str, cached_chunks: int = 400_000):
+    def __init__(self, path: str, known_pairs: int = 300_000):
         import ahocorasick
         import regex
 
@@ -94,14 +90,15 @@ class Bpe:
             self.automaton.add_word(chunks[i][::-1].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = {i: next((usable[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in usable), -1) for token, i in usable.items()}
-        self.cached_chunks = cached_chunks
-        self.cache: dict[str, bytes] = {}
+        self.known_pairs = known_pairs
+        self.chunks = Chunks(lambda texts: [self.encode(t) for t in texts], [*specials])
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging in rank order can leave ``left`` and ``right`` side by side."""
         known = self._compatible(left, right)
-        if len(self.compatible_pairs) < 1_000_000:
-            self.compatible_pairs[left << 32 | right] = known
+        if len(self.compatible_pairs) >= self.known_pairs:
+            self.compatible_pairs.clear()
+        self.compatible_pairs[left << 32 | right] = known
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -192,38 +189,20 @@ class Bpe:
                 undone = rank_right + 1
                 right = self.split[right][0]
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk as little-endian 32-bit integers; kept while there is room."""
-        cache = self.cache
-        parts = []
-        for pretoken in self.pretokens.findall(chunk):
-            known = cache.get(pretoken)
-            if known is None:
-                known = array("I", self.encode_pretoken(pretoken)).tobytes()
-                if len(pretoken) <= 40 and len(cache) < self.cached_chunks:
-                    cache[pretoken] = known
-            parts.append(known)
-        if len(parts) == 1:
-            return parts[0]
-        out = b"".join(parts)
-        if len(chunk) <= 40 and len(cache) < self.cached_chunks:
-            cache[chunk] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers."""
-        if self.special_split is not None and any(s in text for s in self.specials):
-            parts = self.special_split.split(text)
-            return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else self._encode(p) for p in parts if p)
-        return self._encode(text)
-
-    def _encode(self, text: str) -> bytes:
-        chunks = CHUNKS.findall(text) if not OTHER_SPACE.search(text) else self.pretokens.findall(text)
-        known, miss = self.cache.get, self.encode_chunk
-        return b"".join([known(c) or miss(c) for c in chunks])
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        if self.special_split is None or not any(t in text for t in self.specials):
+            return self._encode(text)
+        parts = self.special_split.split(text)
+        return [i for p in parts if p for i in ([self.specials[p]] if p in self.specials else self._encode(p))]
+
+    def _encode(self, text: str) -> list[int]:
+        pretokens = self.pretokens.findall(text)
+        return self.encode_pretoken(pretokens[0]) if len(pretokens) == 1 else [i for p in pretokens for i in self.encode_pretoken(p)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, side by side."""
+        ids = ids.astype(np.int64)
         starts = self.offsets[ids]
         sizes = self.offsets[ids + 1] - starts
         total = int(sizes.sum())
@@ -236,8 +215,9 @@ _TABLES: dict[str, Bpe] = {}
 
 
 def tables(path: str) -> Bpe:
-    """This worker's tables of a tokenizer file."""
+    """This worker's tables of a tokenizer file; one file's are kept."""
     if path not in _TABLES:
+        _TABLES.clear()
         _TABLES[path] = Bpe(path)
     return _TABLES[path]
 
@@ -251,7 +231,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     """Encode a text column, then decode the ids again.
 
     ``tokenizer``: path of a byte-level BPE ``tokenizer.json`` that every executor has.
-    Returns the ``keep`` columns (all but the text by default) and ``ids`` (binary,
+    Returns the ``keep`` columns (all but the text by default, whatever their names) and ``ids`` (binary,
     little-endian unsigned 32-bit), ``n_tokens``, ``decoded`` (binary).  Columns of these
     names in ``docs`` are replaced.
     """
@@ -270,21 +250,36 @@ def encode_digests(docs: DataFrame, tokenizer: str, text: str = "text", keep: li
     return _encoded(docs, tokenizer, text, keep, made, digests)
 
 
+def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, name: str = "n_tokens") -> DataFrame:
+    """The ``keep`` columns (all but the text by default) and how many tokens the text has; null has none."""
+    keep = without([c for c in (keep if keep is not None else docs.columns) if c != text], name)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = tables(tokenizer).chunks
+        for batch in batches:
+            sizes = [np.diff(bounds) for _, _, bounds in chunks.ids(batch.column(len(keep)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64())], [*keep, name])
+
+    return docs.select(*quoted(keep), F.col(text).alias(unused_name("text", *keep))).mapInArrow(count, schema_of(docs, keep, {name: "bigint"}))
+
+
 def _encoded(docs: DataFrame, tokenizer: str, text: str, keep, made: dict[str, str], row) -> DataFrame:
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != text and c not in made]
-    kept = docs.select(*keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{n} {t}" for n, t in made.items()])
+    keep = without([c for c in (keep if keep is not None else docs.columns) if c != text], *made)
+    schema = schema_of(docs, keep, made)
     arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    given = unused_name("text", *keep)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(tokenizer)
         numbers = [str(i) for i in range(len(bpe.length))]
         for batch in batches:
-            rows = [row(np.frombuffer(bpe.encode(t), "<u4").astype(np.int64), bpe, numbers) for t in (x.as_py() or "" for x in batch.column("__text"))]
-            columns = [batch.column(c) for c in keep] + [pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(made.values())]
+            rows = []
+            for _, ids, bounds in bpe.chunks.ids(batch.column(len(keep))):
+                rows += [row(ids[low:high], bpe, numbers) for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            columns = batch.columns[: len(keep)] + [pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(encode, schema)
+    return docs.select(*quoted(keep), F.col(text).alias(given)).mapInArrow(encode, schema)
 
 
 def op7_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:

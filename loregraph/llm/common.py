@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loregraph.functions.storage import discard, new_folder, shared_folder
 from loregraph.functions.storage import persisted as materialise
 
-__all__ = ["committed_output", "discard", "filesystem", "hash_sample", "materialise", "new_folder", "ordered_shards", "range_bounds", "shard_of", "shared_folder", "shuffle_partitions", "unused_name"]
+__all__ = ["committed_output", "discard", "filesystem", "hash_sample", "materialise", "new_folder", "ordered_shards", "quoted", "range_bounds", "schema_of", "shard_of", "shared_folder", "shuffle_partitions", "unused_name", "without"]
 
 
 def unused_name(name: str, *taken: str) -> str:
@@ -24,6 +24,22 @@ def unused_name(name: str, *taken: str) -> str:
     return name
 
 
+def without(columns: list[str], *names: str) -> list[str]:
+    """``columns`` but those of these names, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def quoted(columns: list[str]) -> list:
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def schema_of(df: DataFrame, columns: list[str], made: dict[str, str]) -> str:
+    """Schema text of ``columns`` of ``df`` followed by further ones."""
+    kept = df.select(*quoted(columns)).schema
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t in made.items()])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,23 +99,16 @@ def shard_of(key, bounds: list[int]):
     """Column: how many of ``bounds`` are at most ``key`` (null: 0). Ascending in ``key``."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in bounds]) if len(bounds) < 64 else F.from_json(F.lit(str(bounds)), "array<bigint>")
-    return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key)), F.lit(0)) if len(bounds) < 64 else _binary(cuts, key, len(bounds))
+    if len(bounds) < 64:
+        cuts = F.array(*[F.lit(b) for b in bounds])
+        return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key)), F.lit(0))
+    return F.coalesce(_binary(F.from_json(F.lit(str(bounds)), "array<bigint>"), key, len(bounds)), F.lit(0))
 
 
 def _binary(cuts, key, n: int):
     """Binary search in a sorted array column: the count of entries at most ``key``."""
-    steps = F.sequence(F.lit(n.bit_length() - 1), F.lit(0), F.lit(-1))
-    at = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, b: F.when(
-            (low + F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), b).cast("int") <= n)
-            & (F.get(cuts, low + F.pow(F.lit(2), b).cast("int") - 1) <= key),
-            low + F.pow(F.lit(2), b).cast("int"),
-        ).otherwise(low),
-    )
-    return F.coalesce(at, F.lit(0))
+    steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(cuts, low + step - 1) <= key), low + step).otherwise(low))
 
 
 def ordered_shards(df: DataFrame, key: str, parts: int, then: list[str]) -> DataFrame:

@@ -25,9 +25,11 @@ first; rows with equal ids follow each other in the order of their texts, each w
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loregraph.llm.bpe import CHUNKS, OTHER_SPACE
+from loregraph.llm.chunks import OTHER_SPACE, Chunks
 from loregraph.llm.common import committed_output, filesystem, new_folder, ordered_shards, shuffle_partitions
 
 #: The masking constant of length-delimited record files. Fixed value.
@@ -83,57 +85,56 @@ def records(stream) -> Iterator[bytes]:
         yield payload
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each chunk of text between blanks that is not known yet.
+#: Chunks that the library is given as one text: a call costs as much as some tokens.
+TOGETHER = 64
 
-    No pretoken of a byte-level tokenizer reaches over the start of such a chunk (see ``bpe``),
-    so the chunks' ids side by side are the ids of the text.  Texts with other white space or
-    with a special token's string are given to the library whole.
-    """
 
-    def __init__(self, path: str, kind: str, known_chunks: int = 400_000):
-        import os
+def library_encoder(tokenizer) -> Callable[[list[str]], list]:
+    """Ids of each of a list of strings by the tokenizers library.
 
+    Chunks that start with a blank are encoded side by side, as in a text, and told apart by
+    how many bytes each token stands for.
+    """
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte is a character in byte-level vocabularies
+    apart = re.compile("|".join([OTHER_SPACE, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())]))
+
+    def encode(texts: list[str]) -> list:
+        out: list = [None] * len(texts)
+        blank = " \n\t"
+        joinable = [i for i, t in enumerate(texts) if t[0] in blank and t[-1] not in blank and len(t) <= 40 and not apart.search(t)]
+        lots = [joinable[at : at + TOGETHER] for at in range(0, len(joinable), TOGETHER)]
+        for lot, found in zip(lots, tokenizer.encode_batch_fast(["".join([texts[i] for i in lot]) for lot in lots], add_special_tokens=False), strict=True):
+            ids = found.ids
+            ends = np.cumsum([len(texts[i].encode()) for i in lot])
+            cuts = (np.searchsorted(np.cumsum(lengths[ids]), ends) + 1).tolist()
+            for i, low, high in zip(lot, [0, *cuts], cuts, strict=False):
+                out[i] = ids[low:high]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
+
+    return encode
+
+
+_CHUNKS: dict[str, Chunks] = {}
+
+
+def library_chunks(path: str) -> Chunks:
+    """This worker's tokenizers library behind ``Chunks``; one tokenizer is kept."""
+    if path not in _CHUNKS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = kind
-        self.room = known_chunks
-        self.known: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed."""
-        known, kind = self.known, self.kind
-        split: list[list[str]] = []
-        for text in texts:
-            whole = OTHER_SPACE.search(text) or any(s in text for s in self.specials)
-            split.append([text] if whole else CHUNKS.findall(text))
-        missing = list({c: None for chunks in split for c in chunks if c not in known})
-        new: dict[str, bytes] = {}
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for chunk, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[chunk] = np.array(encoded.ids, kind).tobytes()
-        for chunk, ids in new.items():
-            if len(known) >= self.room:
-                break
-            if len(chunk) <= 40:
-                known[chunk] = ids
-        get = known.get
-        return [b"".join([get(c) or new.get(c, b"") for c in chunks]) for chunks in split]
-
-
-_ENCODERS: dict[tuple, LibraryEncoder] = {}
-
-
-def encoder(path: str, kind: str) -> LibraryEncoder:
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = LibraryEncoder(path, kind)
-    return _ENCODERS[path, kind]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _CHUNKS.clear()
+        _CHUNKS[path] = Chunks(library_encoder(tokenizer), specials)
+    return _CHUNKS[path]
 
 
 @dataclass
@@ -215,13 +216,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     ordered = ordered_shards(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id", shards or shuffle_partitions(spark), ["text"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(tokenizer, kind)
-        stream = None
+        chunks = library_chunks(tokenizer)
         names = ["doc_id", "shard", "at", "bytes", "n_tokens"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        batch = next(batches, None)
-        while batch is not None and not batch.num_rows:
-            batch = next(batches, None)
+        batch = next((b for b in batches if b.num_rows), None)
         if batch is None:
             return
         shard = batch.column("shard")[0].as_py()  # a task has one shard
@@ -229,12 +227,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             at = 0
             while batch is not None:
                 rows = []
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), library.encode_batch(texts), strict=True):
-                    record = frame(payload_of(doc_id, ids + end))
-                    stream.write(record)
-                    rows.append((doc_id, shard, at, len(record), len(ids) // width + 1))
-                    at += len(record)
+                names_of = batch.column("doc_id").to_pylist()
+                for first, ids, bounds in chunks.ids(batch.column("text")):
+                    packed, cuts = ids.astype(kind).tobytes(), (bounds * width).tolist()
+                    for i in range(len(cuts) - 1):
+                        doc_id = names_of[first + i]
+                        record = frame(payload_of(doc_id, packed[cuts[i] : cuts[i + 1]] + end))
+                        stream.write(record)
+                        rows.append((doc_id, shard, at, len(record), (cuts[i + 1] - cuts[i]) // width + 1))
+                        at += len(record)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 batch = next(batches, None)

@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from loregraph.llm.bpe import Bpe, encode_texts
-from loregraph.llm.token_files import frame, op1_token_files, records, write_token_files
+from loregraph.llm.token_files import frame, library_chunks, op1_token_files, records, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,15 +27,32 @@ def odd_texts():
 def test_same_ids_as_the_library():
     ours, library = Bpe(PATH), Tokenizer.from_file(PATH)
     for text in odd_texts():
-        ids = np.frombuffer(ours.encode(text), "<u4").astype(np.int64)
+        ids = np.array(ours.encode(text), np.int64)
         want = library.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want, text[:80]
         assert ours.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("room", [150_000, 50])
+def test_columns_by_chunks(room):
+    texts = [*odd_texts(), None, " lead", "trail ", "\n\n", "x" * 2_000_000 + " y", "plain words and more words"] * 2
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for chunks in (Bpe(PATH).chunks, library_chunks(PATH)):
+        chunks.room = room
+        chunks.known.clear()
+        chunks.older.clear()
+        found = {}
+        for first, ids, bounds in chunks.ids(pa.array(texts)):
+            found |= {first + i: ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(bounds) - 1)}
+        assert [found[i] for i in range(len(texts))] == want
+        assert len(chunks.known) + len(chunks.older) <= room
+    assert list(Bpe(PATH).chunks.ids(pa.array([], pa.string()))) == []
+
+
 def test_rows_and_nulls(spark):
-    docs = spark.createDataFrame([(1, "a b", 5), (None, None, 6), (1, "a b", 7)], "doc_id bigint, text string, ids int")
+    docs = spark.createDataFrame([(1, "a b", 5), (None, None, 6), (1, "a b", 7)], "doc_id bigint, text string, ids int").selectExpr("*", "doc_id AS __text", "doc_id AS `Text_`")
     rows = encode_texts(docs, PATH).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "ids", "n_tokens", "decoded", "__text", "Text_"}
     assert sorted((r["doc_id"] or 0, r["n_tokens"], bytes(r["decoded"])) for r in rows) == [(0, 0, b""), (1, 2, b"a b"), (1, 2, b"a b")]
     assert encode_texts(docs.limit(0), PATH).collect() == []
 
