@@ -24,5 +24,4 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
-        "op10_token_rollups": token_rollups.OP10_SQL,
     }

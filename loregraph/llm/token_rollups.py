@@ -1,4 +1,4 @@
-"""Delta-maintained token counts (operator 10), in DataFrame operations alone.
+"""Delta-maintained token counts (operator 10), in DataFrame operations but for the encoder.
 
 A batch of changes holds inserts, deletes and revised counts.  Each change is signed rows: an
 insert adds a document's tokens to its group, a delete takes them away, a revision takes the
@@ -24,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import new_folder
+from loregraph.llm.bpe import count_tokens
+from loregraph.llm.common import discard, materialise, new_folder
 
 GROUP = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
@@ -33,10 +34,11 @@ TOTALS = "source string, lang string, tokenizer string, docs bigint, tokens bigi
 def signed(changes: DataFrame) -> DataFrame:
     """Signed rows of ``changes``: kind, source, lang, tokenizer, tokens and, for revisions, old_* of these.
 
-    ``kind`` is insert, delete or revise.
+    ``kind`` is insert, delete or revise.  Where there are no old_* columns a revision's old count is null's.
     """
     new = [F.col(c).alias(c) for c in (*GROUP, "tokens")]
-    old = [F.col(f"old_{c}").alias(c) for c in (*GROUP, "tokens")]
+    have = set(changes.columns)
+    old = [(F.col(f"old_{c}") if f"old_{c}" in have else F.lit(None).cast("bigint" if c == "tokens" else "string")).alias(c) for c in (*GROUP, "tokens")]
     row = lambda sign, columns: F.struct(F.lit(sign).alias("sign"), *columns)
     known = F.when(F.col("kind") == "insert", F.array(row(1, new))).when(F.col("kind") == "delete", F.array(row(-1, new)))
     known = known.when(F.col("kind") == "revise", F.array(row(-1, old), row(1, new))).otherwise(F.raise_error(F.concat(F.lit("unknown kind of change: "), F.coalesce(F.col("kind"), F.lit("null")))))
@@ -73,94 +75,90 @@ class TokenRollups:
         """Write a batch once; False where it was there already."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        if f"batch={batch}" in self.committed() or batch in self._folded():
+        names = self.committed()
+        if f"batch={batch}" in names or batch in self._folded(names):
             return False
         return self._publish(f"batch={batch}", deltas(changes))
 
     def _publish(self, name: str, rows: DataFrame) -> bool:
         staged = new_folder(self.spark, "staged")
         rows.write.parquet(staged)
+        return self._rename(staged, name)
+
+    def _rename(self, staged: str, name: str) -> bool:
         files = self._files()
         files.mkdirs(self._path(self.folder))
         # a rename onto a folder that is there would move into it: the one that came first stays
         if files.exists(self._path(f"{self.folder}/{name}")):
+            files.delete(self._path(staged), True)
             return False
         return files.rename(self._path(staged), self._path(f"{self.folder}/{name}"))
 
-    def _base(self) -> str | None:
-        bases = [n for n in self.committed() if n.startswith("base=")]
-        return max(bases, key=lambda n: int(n.split("=")[1])) if bases else None
-
-    def _folded(self) -> set[str]:
-        base = self._base()
-        if base is None:
-            return set()
-        return {r[0] for r in self.spark.read.parquet(f"{self.folder}/{base}/batches").collect()}
+    def _folded(self, names: list[str]) -> set[str]:
+        """Batches that the last base of ``names`` holds."""
+        base = last_base(names)
+        return {r[0] for r in self.spark.read.parquet(f"{self.folder}/{base}/batches").collect()} if base else set()
 
-    def deltas(self) -> DataFrame:
-        """All rows that count: the base's and those of batches that it doesn't hold."""
-        base, folded = self._base(), self._folded()
-        paths = [f"{self.folder}/{n}" for n in self.committed() if n.startswith("batch=") and n.split("=", 1)[1] not in folded]
+    def _sums(self, names: list[str]) -> DataFrame:
+        """Totals by group of the last base of ``names`` and those of its batches that the base doesn't hold."""
+        base, folded = last_base(names), self._folded(names)
+        paths = [f"{self.folder}/{n}" for n in names if n.startswith("batch=") and n.split("=", 1)[1] not in folded]
         paths += [f"{self.folder}/{base}/totals"] if base else []
-        read = self.spark.read.schema(TOTALS)
-        return read.parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) now."""
-        sums = self.deltas().groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 OR tokens <> 0")
-
-    def compact(self) -> None:
-        """Fold all committed batches into a new base; running it again or half of it changes no total."""
-        base = self._base()
-        names = [n.split("=", 1)[1] for n in self.committed() if n.startswith("batch=")]
-        folded = sorted(self._folded() | set(names))
+        return self._sums(self.committed())
+
+    def compact(self) -> bool:
+        """Fold all committed batches into a new base; running it again or half of it changes no total.
+
+        What counts is one listing: a batch that comes in meanwhile is neither in the base's totals
+        nor in its list.  False where another compaction was quicker.
+        """
+        names = self.committed()
+        base = last_base(names)
+        folded = sorted(self._folded(names) | {n.split("=", 1)[1] for n in names if n.startswith("batch=")})
         staged = new_folder(self.spark, "staged")
-        self.totals().write.parquet(f"{staged}/totals")
+        self._sums(names).write.parquet(f"{staged}/totals")
         self.spark.createDataFrame([(n,) for n in folded], "batch string").write.parquet(f"{staged}/batches")
-        number = int(base.split("=")[1]) + 1 if base else 1
-        if not self._files().exists(self._path(f"{self.folder}/base={number}")):
-            self._files().rename(self._path(staged), self._path(f"{self.folder}/base={number}"))
+        return self._rename(staged, f"base={int(base.split('=')[1]) + 1 if base else 1}")
+
+
+def last_base(names: list[str]) -> str | None:
+    return max((n for n in names if n.startswith("base=")), key=lambda n: int(n.split("=")[1]), default=None)
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole table through three batches: first counts, deletes of exact copies, counts of a second tokenizer.
+    """Whole table through three batches: word counts, deletes of exact copies, counts by a tokenizer's tokens.
 
-    Batch 1 inserts every document under ``words-1`` (words between ASCII blanks).  Batch 2
-    deletes those whose text another document of a smaller id has.  Batch 3 revises the rest to
-    ``words-2``, which also parts words and punctuation.  Each batch is sent twice, as after a
-    lost answer; the second time changes nothing.
+    Batch 1 inserts every document under ``words`` (words between ASCII blanks).  Batch 2 deletes
+    those whose text another document of a smaller id has.  Batch 3 revises the rest to
+    ``byte_bpe_50k``, the tokens that the encoder of operator 7 gives.  Each batch is sent twice,
+    as after a lost answer; the second time changes nothing.
     """
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    second = F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]")), F.lit(0)).cast("bigint")
-    counted = docs.select("doc_id", "source", "lang", first.alias("one"), second.alias("two"), F.sha2(F.col("text"), 256).alias("digest"))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    rows = docs.select("doc_id", "source", "lang", words.alias("words"), F.sha2(F.col("text"), 256).alias("digest"), "text")
+    counted = materialise(count_tokens(rows, public_tokenizers.path("byte_bpe_50k.json")), "counted")
     store = TokenRollups(spark, new_folder(spark, "rollups"))
-    from loregraph.llm.common import materialise
-
-    counted = materialise(counted, "counted")
     kept = counted.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("kept"))
     marked = counted.join(kept, "digest", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("kept"), F.lit(False))
-    old = [F.lit(None).cast("string").alias(f"old_{c}") for c in GROUP] + [F.lit(None).cast("bigint").alias("old_tokens")]
-    inserts = counted.select(F.lit("insert").alias("kind"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("one").alias("tokens"), *old)
-    deletes = marked.where(copy).select(F.lit("delete").alias("kind"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("one").alias("tokens"), *old)
-    revised = marked.where(~copy).select(
-        F.lit("revise").alias("kind"), "source", "lang", F.lit("words-2").alias("tokenizer"), F.col("two").alias("tokens"),
-        F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words-1").alias("old_tokenizer"), F.col("one").alias("old_tokens"),
-    )
+
+    def change(kind: str, tokenizer: str, tokens: str) -> list:
+        return [F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens")]
+
+    inserts = counted.select(*change("insert", "words", "words"))
+    deletes = marked.where(copy).select(*change("delete", "words", "words"))
+    old = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words").alias("old_tokenizer"), F.col("words").alias("old_tokens")]
+    revised = marked.where(~copy).select(*change("revise", "byte_bpe_50k", "n_tokens"), *old)
     for name, changes in (("0001", inserts), ("0002", deletes), ("0003", revised)):
         store.commit(name, changes)
         store.commit(name, changes)
     store.compact()
+    discard(counted)
     return store.totals()
-
-
-OP10_SQL = r"""
-WITH kept AS (SELECT sha256(text) AS digest, min(doc_id) AS kept FROM documents WHERE text IS NOT NULL GROUP BY 1)
-SELECT source, lang, 'words-2' AS tokenizer, CAST(count(*) AS BIGINT) AS docs,
-       CAST(sum(coalesce(len(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]')), 0)) AS BIGINT) AS tokens
-FROM documents d LEFT JOIN kept k ON sha256(d.text) = k.digest
-WHERE NOT coalesce(doc_id > kept, false)
-GROUP BY source, lang
-"""
