@@ -10,9 +10,12 @@ Copies: of records with equal payloads of at least ``least_bytes`` the one with
 page id is a ``response`` and the others are ``revisit`` records that refer to it.  Which is
 which is found on digests and ids alone; payloads are dealt only by page id.
 
-Defined results: a null payload is empty; rows of one page id are in order of their payloads
+Defined results: a null payload is empty; rows of one page id are in order of URL and payload
 and, where equal, all are written; a null page id is never a response that others refer to
 unless all copies have none, and then each copy is a response; an empty table gives no file.
+Record ids count a page's records from its second on; a revisit names the first record of the
+page it refers to, and its digest says which payload.  Blanks in URLs are percent-encoded; no
+URL is ``about:blank``.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,15 +65,20 @@ def page_of(uri: str) -> int | None:
     return None if name == "none" else int(name)
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """A response with its payload, or a revisit with the head of the response alone."""
+def address(url: str | None) -> str:
+    """A URL as a field's value: blanks and control characters are percent-encoded."""
+    return "".join(quote(c) if c.isspace() or not c.isprintable() else c for c in url or "about:blank")
+
+
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, copy: int = 0) -> bytes:
+    """A response with its payload, or a revisit with the head of the response alone; ``copy`` counts the page's records before."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, copy)),
         ("WARC-Date", date),
-        ("WARC-Target-URI", "".join((url or "about:blank").split())),
+        ("WARC-Target-URI", address(url)),
         ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()),
     ]
     if refers_to is not None:
@@ -191,7 +200,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 1
     refers = responses(rows, least_bytes).where("page_id IS NULL OR page_id <> first")
     both = rows.withColumns({"digest": F.lit(None).cast("string"), "first": F.lit(None).cast("bigint"), "is_page": F.lit(1)})
     both = both.unionByName(refers.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first", F.lit(0).alias("is_page")))
-    ordered = ordered_shards(both, "page_id", shards or shuffle_partitions(spark), ["is_page", "url"])
+    ordered = ordered_shards(both, "page_id", shards or shuffle_partitions(spark), ["is_page", "url", "payload"])
     names = ["page_id", "shard", "at", "bytes"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -210,18 +219,19 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 1
             head = dictionary_frame(dictionary)
             stream.write(head)
             at = len(head)
-            now, known = object(), {}
+            now, known, copy = object(), {}, 0
             while batch is not None:
                 found = []
-                for page_id, address, body, digest, first, is_page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "is_page")), strict=True):
+                for page_id, uri, body, digest, first, is_page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "is_page")), strict=True):
                     if page_id != now:
-                        now, known = page_id, {}
+                        now, known, copy = page_id, {}, 0
                     if not is_page:
                         known[digest] = first
                         continue
                     refers_to = known.get(hashlib.sha256(body).hexdigest()) if known else None
-                    frame = compressor.compress(make_record(page_id, address, body, refers_to, date))
+                    frame = compressor.compress(make_record(page_id, uri, body, refers_to, date, copy))
                     stream.write(frame)
+                    copy += 1
                     found.append((page_id, shard, at, len(frame)))
                     at += len(frame)
                 if found:

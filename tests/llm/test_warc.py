@@ -1,11 +1,12 @@
 """WARC files: exact round trip, copies, and equality with the SQL twin."""
 
 import io
+from pathlib import Path
 
 import duckdb
 import pytest
 
-from loregraph.llm.warc import OP6_SQL, dictionary_frame, make_record, op6_warc, parse_record, read_archive, write_warc
+from loregraph.llm.warc import OP6_SQL, dictionary_frame, make_record, op6_warc, page_of, parse_record, read_archive, record_id, write_warc
 
 
 def test_same_rows_as_sql(spark):
@@ -27,6 +28,20 @@ def test_copies_nulls_and_round_trip(spark):
         assert found[i]["payload_bytes"] == len((html or "").encode())
 
 
+def test_repeated_ids_have_records_of_their_own(spark):
+    page = "y" * 150
+    rows = [(4, "b c\td", page), (4, "b c\td", page), (4, "a", "other " * 40), (7, "z", page)]
+    written = write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), shards=1)
+    found = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in written.read().collect())
+    assert found == [(4, "a", "response", None, 240), (4, "b%20c%09d", "response", None, 150), (4, "b%20c%09d", "response", None, 150), (7, "z", "revisit", 4, 150)]
+    assert record_id(4, 0) != record_id(4, 1) and page_of(record_id(4, 1)) == page_of(record_id(4, 0)) == 4
+    heads = []
+    for file in Path(written.folder.removeprefix("file:")).glob("data/*.zst"):
+        with open(file, "rb") as f:
+            heads += [parse_record(r)[0]["WARC-Record-ID"] for r in read_archive(f)]
+    assert len(set(heads)) == 4
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert write_warc(pages).read().collect() == []
