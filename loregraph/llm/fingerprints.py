@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import materialise, range_bounds, shard_of, shuffle_partitions
+from loregraph.llm.common import discard, materialise, quoted, range_bounds, schema_of, shard_of, shuffle_partitions, unused_name, without
 from loregraph.llm.components import merged
 from loregraph.llm.shingles import splitmix
 
@@ -142,16 +142,14 @@ TOGETHER = 6 << 20
 
 def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``fingerprint``; a column of this name is replaced."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("fingerprint", "__text")]
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["fingerprint string"])
+    keep = without(keep if keep is not None else docs.columns, "fingerprint")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fingerprints(texts), pa.string())], [*keep, "fingerprint"])
+            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fingerprints(texts), pa.string())], [*keep, "fingerprint"])
 
-    return rows.mapInArrow(walk, schema)
+    return docs.select(*quoted(keep), F.col(text).alias(unused_name("text", *keep))).mapInArrow(walk, schema_of(docs, keep, {"fingerprint": "string"}))
 
 
 def fingerprints(texts: list[str]) -> list[str]:

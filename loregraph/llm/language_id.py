@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loregraph.llm.common import quoted, schema_of, unused_name, without
 from loregraph.llm.shingles import texts_of
 
 WINDOW = 256
@@ -159,14 +160,14 @@ def fit(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text: str =
 
 def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns (all by default) with the language and its score as ``names``, which replace columns of these names."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in (*names, "__text")]
-    rows = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    keep = without(keep if keep is not None else docs.columns, *names)
+    rows = docs.select(*quoted(keep), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias(unused_name("text", *keep)))
+    schema = schema_of(docs, keep, {names[0]: "string", names[1]: "double"})
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.prepare() if model else None
         for batch in batches:
-            column = batch.column("__text")
+            column = batch.column(len(keep))
             known = np.asarray(column.is_valid().to_numpy(zero_copy_only=False), bool)
             languages = np.full(len(column), UNKNOWN, object)
             scores = np.where(known, 0.0, 1.0)
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text", keep: l
                 best = sums.argmax(axis=1)
                 languages[known] = np.array(model.languages, object)[best[known]]
                 scores[known] = sums[np.arange(len(best)), best][known]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(np.clip(scores, 0, 1))], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(languages, pa.string()), pa.array(np.clip(scores, 0, 1))], [*keep, *names])
 
     return rows.mapInArrow(predict, schema)
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loregraph.llm.common import quoted
+
 #: A word, as a regular expression: a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,7 +59,7 @@ def mix(docs: DataFrame, seed: str = "mix", parts: int = 1024, weights: tuple[fl
     """(doc_id, source, size, source_size, target, epochs, taken) of every row.
 
     ``epochs``: how often the whole row is taken; ``taken``: words in all, with those of
-    the last, partial time.  ``parts``: ranges of the key, a power of 16.
+    the last, partial time.  ``parts``: ranges of the key, rounded up to a power of 16.
     """
     rows = planned(docs, seed, parts, weights, most, id_col, source, text)
     partial = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at")))
@@ -101,17 +103,22 @@ def mixed_rows(docs: DataFrame, seed: str = "mix", parts: int = 1024, text: str
         return F.md5(F.to_json(F.struct(doc.cast("string").alias("i"), of.cast("string").alias("s"), content.alias("c"))))
 
     plan = planned(docs, seed, parts, weights, most, id_col, source, text).where("size > 0 AND (epochs > 0 OR rest > at)")
-    plan = plan.groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("content")).alias("__row")).agg(*[F.min(c).alias(f"__{c}") for c in ("size", "epochs", "rest", "at")])
-    joined = docs.withColumn("__row", row_key(F.col(id_col), F.col(source), F.md5(F.coalesce(F.col(text), F.lit(""))))).join(plan, "__row")
-    others = [f.name for f in docs.schema if f.name not in (id_col, source, text) and "map<" not in f.dataType.simpleString()]
-    before = F.row_number().over(Window.partitionBy("__row").orderBy(*others, F.lit(0))) - 1  # equal rows ahead of this one
-    part = F.least(F.col("__size"), F.greatest(F.lit(0), F.col("__rest") - F.col("__at") - F.col("__before") * F.col("__size")))
-    times = joined.withColumn("__before", before).withColumn("__words", F.explode(F.concat(F.array_repeat("__size", F.col("__epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.when(F.col("__words") >= F.col("__size"), F.col(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), 1, F.col("__words").cast("int")), " "))
-    rows = times.withColumn(text, cut)
+    plan = plan.groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("content")).alias("row")).agg(*[F.min(c).alias(c) for c in ("size", "epochs", "rest", "at")])
+    # the columns of ``docs`` go as one, so that their names can't be those of the plan
+    whole = docs.select(F.struct(*quoted(docs.columns)).alias("d"), row_key(F.col(id_col), F.col(source), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("row"))
+    joined = whole.join(plan, "row")
+    others = [F.col("d").getField(f.name) for f in docs.schema if f.name not in (id_col, source, text) and "map<" not in f.dataType.simpleString()]
+    before = F.row_number().over(Window.partitionBy("row").orderBy(*others, F.lit(0))) - 1  # equal rows ahead of this one
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at") - F.col("before") * F.col("size")))
+    times = F.concat(F.array_repeat("size", F.col("epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = joined.withColumn("before", before).select("d", "size", F.explode(times).alias("words"))
+    own = F.col("d").getField(text)
+    cut = F.when(F.col("words") >= F.col("size"), own).otherwise(F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " "))
+    rows = rows.select("d", cut.alias("cut"))
+    made = {text: F.col("cut")}
     if n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return rows.select(*docs.columns)
+        made[n_chars] = F.length("cut").cast(docs.schema[n_chars].dataType)
+    return rows.select(*[made.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

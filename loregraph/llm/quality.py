@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.llm.common import quoted, schema_of, unused_name, without
 from loregraph.llm.language_id import held_out
 from loregraph.llm.shingles import texts_of
 
@@ -129,32 +130,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "d
     key = F.xxhash64(F.lit("quality"), F.col(id_col))
     size = F.length(text)
     place = F.when(size > STRETCH, F.pmod(F.xxhash64(key), size - STRETCH) + 1).otherwise(1).cast("int")
-    marks = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).alias("__label"))
+    marks = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("label"))
     # the sample is chosen among ids, by their hash; only its texts are then looked up
-    order = F.xxhash64(F.lit("quality"), F.col("__id"))
-    picked = [marks.where(F.col("__label") == q).orderBy(order, "__id").limit(sample) for q in (0, 1)]
-    chosen = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(picked[0].unionByName(picked[1])), F.col(id_col) == F.col("__id"))
-    part = F.substring(F.col(text), place, F.lit(STRETCH))
-    rows = chosen.groupBy(key.alias("key"), F.col("__label").cast("int").alias("label")).agg(F.min(part).alias("text")).orderBy("key").limit(2 * sample).collect()
+    order = F.xxhash64(F.lit("quality"), F.col("id"))
+    picked = [marks.where(F.col("label") == q).orderBy(order, "id").limit(sample) for q in (0, 1)]
+    rows = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text), place, F.lit(STRETCH)).alias("text"), key.alias("key"))
+    chosen = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "id")
+    rows = chosen.groupBy("key", F.col("label").cast("int").alias("label")).agg(F.min("text").alias("text")).orderBy("key").limit(2 * sample).collect()
     return train([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows])
 
 
 def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns (all by default) with the score and the label as ``names``, which replace columns of these names."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in (*names, "__text")]
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + [f"`{names[0]}` double", f"`{names[1]}` int"])
+    keep = without(keep if keep is not None else docs.columns, *names)
+    rows = docs.select(*quoted(keep), F.col(text).alias(unused_name("text", *keep)))
+    schema = schema_of(docs, keep, {names[0]: "double", names[1]: "int"})
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model else None
         for batch in batches:
             if model and batch.num_rows:
-                data, offsets = texts_of(batch.column("__text"))
+                data, offsets = texts_of(batch.column(len(keep)))
                 view = memoryview(data)
                 scores = model.scores(np.array([features(view[offsets[i] : offsets[i + 1]], *compressors) for i in range(batch.num_rows)]))
             else:
                 scores = np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores), pa.array((scores >= GOOD).astype(np.int32))], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= GOOD).astype(np.int32))], [*keep, *names])
 
     return rows.mapInArrow(predict, schema)
 
