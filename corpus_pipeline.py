@@ -4,7 +4,8 @@
 DataFrame that is written as Parquet and read again as the next one's ``docs``.  All but the
 last return the columns of ``docs``.
 
-Ids may be null or repeat; rows equal in all columns count as one from the third stage on.
+Ids may be null or repeat, and columns may have any names beside those of ``documents``; rows
+equal in all columns count as one from the third stage on.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loregraph.llm import bpe, jaccard_join, language_id, mixing, quality
-from loregraph.llm.common import materialise
+from loregraph.llm.common import discard, materialise, quoted, unused_name
 
 #: A text is rejected, as of no known language, if its best language's score goes less than this
 #: part of the way from chance, one in the number of languages, to certainty.
@@ -29,9 +30,10 @@ def least_language_score(languages: int) -> float:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no language that the labels know."""
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model, names=("__lang", "__score"))
+    lang, score = (unused_name(n, *docs.columns) for n in ("language", "score"))
+    found = language_id.identify(docs, model, names=(lang, score))
     least = least_language_score(len(model.languages) if model else 0)
-    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= least)).select(*quoted(docs.columns))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
-    return quality.score(docs, model, names=("__score", "__good")).where("__good = 1").select(*docs.columns)
+    score, good = (unused_name(n, *docs.columns) for n in ("score", "good"))
+    return quality.score(docs, model, names=(score, good)).where(F.col(good) == 1).select(*quoted(docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +50,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows with a null id come last.
     """
-    hashed = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
-    rows = docs.withColumn("__row", hashed)
-    groups = jaccard_join.jaccard_components(rows, id_col="__row").distinct()
-    named = groups.join(rows.select("__row", F.col("doc_id").alias("id")).distinct(), F.col("doc_id") == F.col("__row"))
-    first = F.min(F.struct(F.col("id").isNull(), "id", "__row"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.__row")
-    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    hashed = F.xxhash64(*quoted(docs.columns), *[c.isNull() for c in quoted(docs.columns)])
+    rows = docs.select(hashed.alias("row"), F.col("doc_id").alias("id"), "text", F.struct(*quoted(docs.columns)).alias("d"))
+    groups = jaccard_join.jaccard_components(rows, id_col="row").distinct()
+    named = groups.join(rows.select("row", "id").distinct(), F.col("doc_id") == F.col("row"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("d.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,6 +86,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # the next stage's rows are written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
