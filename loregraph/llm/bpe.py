@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.chunks import Chunks
+from loregraph.llm.chunks import Chunks, by_strings
 from loregraph.llm.common import quoted, schema_of, unused_name, without
 
 #: GPT-2's published pretoken pattern, which byte-level tokenizer files imply. Fixed value.
@@ -91,7 +91,7 @@ class Bpe:
         self.automaton.make_automaton()
         self.shorter = {i: next((usable[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in usable), -1) for token, i in usable.items()}
         self.known_pairs = known_pairs
-        self.chunks = Chunks(lambda texts: [self.encode(t) for t in texts], [*specials])
+        self.chunks = Chunks(by_strings(lambda texts: [self.encode(t) for t in texts]), [*specials])
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging in rank order can leave ``left`` and ``right`` side by side."""

@@ -11,7 +11,6 @@ special token's string are encoded whole.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,23 +23,44 @@ from loregraph.llm.shingles import texts_of
 OTHER_SPACE = "[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 #: Bytes of text that are cut at once; a longer text is a piece of its own.
 PIECE = 4 << 20
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x09, 0x0A, 0x20]] = True
+#: Bytes of a chunk that is remembered, at most.
+LONGEST = 40
+BLANK = np.zeros(256, bool)
+BLANK[[0x09, 0x0A, 0x20]] = True
+
+
+#: Encodes an array of strings: (ids, starts, sizes); string ``i`` has ``ids[starts[i] : starts[i] + sizes[i]]``.
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def by_strings(encode: Callable[[list[str]], list[list[int]]]) -> Encoder:
+    """An encoder of arrays from one of lists of strings."""
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = encode(texts.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+
+    return run
 
 
 class Chunks:
-    """Ids of texts by an encoder of lists of strings.
+    """Ids of texts by an encoder of strings.
 
-    Short chunks are remembered, at most ``room`` of them: when half the room is taken, those that
-    were not asked for since the last time go.
+    Short chunks are remembered, at most ``room`` of them: when the room is taken, those that
+    were not met again since the last time go.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], specials: list[str], room: int = 400_000):
+    def __init__(self, encode: Encoder, specials: list[str], room: int = 400_000):
         self.encode = encode
         self.whole = "|".join([OTHER_SPACE, *map(re.escape, specials)])
         self.room = room
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.names = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)
 
     def ids(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids, bounds) of pieces: text ``first + i`` has ``ids[bounds[i] : bounds[i + 1]]``. Null is empty."""
@@ -51,7 +71,7 @@ class Chunks:
             upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
             own = offsets[at : upto + 1] - offsets[at]
             piece = data[offsets[at] : offsets[upto]]
-            blank = _BLANK[piece]
+            blank = BLANK[piece]
             starts = blank.copy()
             starts[1:] &= ~blank[:-1]
             for i in np.flatnonzero(whole[at:upto]):
@@ -68,30 +88,37 @@ class Chunks:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         buffers = [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(piece))]
         coded = pa.Array.from_buffers(pa.string(), len(cuts) - 1, buffers).dictionary_encode()
-        which = coded.indices.to_numpy()
-        parts = self._packed(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        sizes = lengths[which]
-        ends = np.append(0, np.cumsum(sizes))
-        shift = (np.cumsum(lengths) - lengths)[which] - ends[:-1]
-        return flat[np.arange(ends[-1]) + np.repeat(shift, sizes)], ends
-
-    def _packed(self, chunks: list[str]) -> list[bytes]:
-        parts = [*map(self.known.get, chunks)]
-        absent = [i for i, part in enumerate(parts) if part is None]
-        missing = []
-        for i in absent:
-            parts[i] = self.older.get(chunks[i])
-            if parts[i] is None:
-                missing.append(i)
-        for first in range(0, len(missing), 10_000):
-            lot = missing[first : first + 10_000]
-            for i, ids in zip(lot, self.encode([chunks[i] for i in lot]), strict=True):
-                parts[i] = array("I", ids).tobytes()
-        for i in absent:
-            if len(chunks[i]) <= 40:
-                if len(self.known) >= self.room // 2:
-                    self.known, self.older = {}, self.known
-                self.known[chunks[i]] = parts[i]
-        return parts
+        which, names = coded.indices.to_numpy(), coded.dictionary
+        at = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy()
+        known = at >= 0
+        new = names.filter(pa.array(~known))
+        found, new_starts, new_sizes = self.encode(new)
+        flat = np.concatenate([self.flat, found])
+        starts, sizes = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        starts[~known], sizes[~known] = new_starts + len(self.flat), new_sizes
+        self.met[at[known]] = True
+        ids, ends = runs(flat, starts[which], sizes[which])
+        self._remember(new, found, new_starts, new_sizes)
+        return ids, ends
+
+    def _remember(self, new: pa.Array, found: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        short = np.flatnonzero(pc.binary_length(new).to_numpy() <= LONGEST)[: self.room]
+        if len(self.names) + len(short) > self.room:
+            kept = np.flatnonzero(self.met)[: self.room - len(short)]
+            self.names = self.names.take(pa.array(kept))
+            self.flat, ends = runs(self.flat, self.starts[kept], self.sizes[kept])
+            self.starts, self.sizes = ends[:-1], self.sizes[kept]
+            self.met = np.zeros(len(kept), bool)
+        own, ends = runs(found, starts[short], sizes[short])
+        self.names = pa.concat_arrays([self.names, new.take(pa.array(short))])
+        self.starts = np.concatenate([self.starts, ends[:-1] + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes[short]])
+        self.flat = np.concatenate([self.flat, own])
+        self.met = np.concatenate([self.met, np.zeros(len(short), bool)])
+
+
+def runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ``flat`` side by side, where each starts and the last one ends)."""
+    ends = np.append(0, np.cumsum(sizes))
+    return flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends

@@ -29,16 +29,19 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loregraph.llm.chunks import OTHER_SPACE, Chunks
+from loregraph.llm.chunks import BLANK, LONGEST, OTHER_SPACE, Chunks, Encoder, by_strings
 from loregraph.llm.common import committed_output, filesystem, new_folder, ordered_shards, shuffle_partitions
+from loregraph.llm.shingles import texts_of
 
 #: The masking constant of length-delimited record files. Fixed value.
 MASK_DELTA = 0xA282EAD8
@@ -89,8 +92,8 @@ def records(stream) -> Iterator[bytes]:
 TOGETHER = 64
 
 
-def library_encoder(tokenizer) -> Callable[[list[str]], list]:
-    """Ids of each of a list of strings by the tokenizers library.
+def library_encoder(tokenizer) -> Encoder:
+    """Ids of strings by the tokenizers library.
 
     Chunks that start with a blank are encoded side by side, as in a text, and told apart by
     how many bytes each token stands for.
@@ -98,23 +101,25 @@ def library_encoder(tokenizer) -> Callable[[list[str]], list]:
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
     lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte is a character in byte-level vocabularies
-    apart = re.compile("|".join([OTHER_SPACE, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())]))
-
-    def encode(texts: list[str]) -> list:
-        out: list = [None] * len(texts)
-        blank = " \n\t"
-        joinable = [i for i, t in enumerate(texts) if t[0] in blank and t[-1] not in blank and len(t) <= 40 and not apart.search(t)]
-        lots = [joinable[at : at + TOGETHER] for at in range(0, len(joinable), TOGETHER)]
-        for lot, found in zip(lots, tokenizer.encode_batch_fast(["".join([texts[i] for i in lot]) for lot in lots], add_special_tokens=False), strict=True):
-            ids = found.ids
-            ends = np.cumsum([len(texts[i].encode()) for i in lot])
-            cuts = (np.searchsorted(np.cumsum(lengths[ids]), ends) + 1).tolist()
-            for i, low, high in zip(lot, [0, *cuts], cuts, strict=False):
-                out[i] = ids[low:high]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, found in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = found.ids
-        return out
+    apart = "|".join([OTHER_SPACE, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+    single = by_strings(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = texts_of(texts)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        joined = BLANK[data[offsets[:-1]]] & ~BLANK[data[offsets[1:] - 1]] & (np.diff(offsets) <= LONGEST)
+        joined &= ~pc.match_substring_regex(texts, apart).to_numpy(zero_copy_only=False)
+        data, offsets = texts_of(texts.filter(pa.array(joined)))
+        cuts = np.append(offsets[:-1:TOGETHER], offsets[-1]).tolist()
+        lots = tokenizer.encode_batch_fast([data[low:high].tobytes().decode() for low, high in pairwise(cuts)], add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in lots)])
+        ends = np.searchsorted(np.cumsum(lengths[flat]), offsets[1:] - offsets[0]) + 1
+        rest, rest_starts, rest_sizes = single(texts.filter(pa.array(~joined)))
+        starts, sizes = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        starts[joined], sizes[joined] = np.append(0, ends)[:-1], np.diff(ends, prepend=0)
+        starts[~joined], sizes[~joined] = rest_starts + len(flat), rest_sizes
+        return np.concatenate([flat, rest]), starts, sizes
 
     return encode
 

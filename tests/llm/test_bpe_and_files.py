@@ -39,13 +39,12 @@ def test_columns_by_chunks(room):
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for chunks in (Bpe(PATH).chunks, library_chunks(PATH)):
         chunks.room = room
-        chunks.known.clear()
-        chunks.older.clear()
+        chunks.forget()
         found = {}
         for first, ids, bounds in chunks.ids(pa.array(texts)):
             found |= {first + i: ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(bounds) - 1)}
         assert [found[i] for i in range(len(texts))] == want
-        assert len(chunks.known) + len(chunks.older) <= room
+        assert len(chunks.names) <= room
     assert list(Bpe(PATH).chunks.ids(pa.array([], pa.string()))) == []
 
 
