@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,16 +61,34 @@ def guess_layer(node: Column) -> Column:
     return F.coalesce(*[F.when(prefix.isin(prefixes), F.lit(layer)) for layer, prefixes in PREFIX_LAYERS.items()])
 
 
-def anchor(heading: Column) -> Column:
-    """A heading as an anchor: accents dropped, lower case, other signs dropped, blanks as hyphens.
+def _ascii_forms() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters with one ASCII sign as their compatible form, those signs, and (character, signs) of the others.
 
-    Accents are those of Latin letters with one mark; other letters beyond ASCII are dropped.
+    The compatible form is Unicode's NFKD without marks and signs beyond ASCII.
     """
     import unicodedata
 
-    marked = [chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii() and len(unicodedata.normalize("NFKD", chr(c))) == 2]
-    plain = [unicodedata.normalize("NFKD", c)[0] for c in marked]
-    text = F.lower(F.translate(heading, "".join(marked), "".join(plain)))
+    one, signs, more = [], [], []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]):
+        form = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())
+        if len(form) == 1:
+            one.append(c)
+            signs.append(form)
+        elif form and any(w in unicodedata.name(c, "") for w in ("LATIN", "ROMAN", "FRACTION")):
+            more.append((c, form))
+    return "".join(one), "".join(signs), more
+
+
+ASCII_FROM, ASCII_TO, ASCII_MORE = _ascii_forms()
+
+
+def anchor(heading: Column) -> Column:
+    """A heading as an anchor: compatible forms without accents, lower case, other signs dropped, blanks as hyphens."""
+    text = F.translate(heading, ASCII_FROM, ASCII_TO)
+    # ligatures and the like are rare: a text without one takes no further look
+    more = F.from_json(F.lit(json.dumps(dict(ASCII_MORE))), "map<string,string>")
+    several = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(more, c), c)), "")
+    text = F.lower(F.when(text.rlike("[^\\x00-\\x7F]"), several).otherwise(text))
     text = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9_\s-]", ""), r"\s+", "-")
     return F.regexp_replace(text, "^-+|-+$", "")
 

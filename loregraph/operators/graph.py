@@ -6,7 +6,7 @@ alone and is written to the shared folder, so neither the plan nor a task grows
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,10 @@ class Index:
     embeddings: DataFrame | None = None
     manifest: DataFrame | None = None
 
+    def walkable(self) -> Index:
+        """The same index with its edges written once: walks read them several times a level."""
+        return replace(self, edges=persisted(self.edges, "edges"))
+
 
 def deduplicate_edges(edges: DataFrame) -> DataFrame:
     """Of equal (from, to, type) the one with the smallest ``edge_seq``."""
@@ -37,11 +41,20 @@ def deduplicate_edges(edges: DataFrame) -> DataFrame:
 def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with ``from_exists`` and ``to_exists``."""
     ids = nodes.select("id").distinct()
-    ends = edges.join(ids.select(F.col("id").alias("from_node"), F.lit(True).alias("from_exists")), "from_node", "left")
-    ends = ends.join(ids.select(F.col("id").alias("to_node"), F.lit(True).alias("to_exists")), "to_node", "left")
+    # a task's share of the ids is hashed: the edges, which are many more, need no sort
+    ends = edges.join(ids.select(F.col("id").alias("from_node"), F.lit(True).alias("from_exists")).hint("shuffle_hash"), "from_node", "left")
+    ends = ends.join(ids.select(F.col("id").alias("to_node"), F.lit(True).alias("to_exists")).hint("shuffle_hash"), "to_node", "left")
     return ends.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("from_exists", "to_exists")})
 
 
+def latest_nodes(nodes: DataFrame) -> DataFrame:
+    """One row an id: the last indexed, of equal times the one of the greatest file and hash."""
+    rest = [c for c in nodes.columns if c != "id"]
+    order = [F.col(c) for c in ("indexed_at", "source_file", "source_hash", "kind") if c in rest]
+    kept = nodes.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(F.lit(0), *[x for c in order for x in (c.isNotNull(), c)])).alias("row"))
+    return kept.select(*[F.col("id") if c == "id" else F.col(f"row.{c}").alias(c) for c in nodes.columns])
+
+
 def load_graph(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None, manifest: DataFrame | None = None) -> Index:
     """Set orphans aside (duplicates too), keep each other triple once, and one node of an id."""
     ends = with_ends(nodes, edges)
@@ -49,7 +62,7 @@ def load_graph(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None
     loaded = deduplicate_edges(ends.where(whole).select(*edges.columns))
     reason = F.when(~F.col("from_exists") & ~F.col("to_exists"), "both_missing").when(F.col("from_exists"), "missing_target").otherwise("missing_source")
     orphans = ends.where(~whole).withColumn("reason", reason)
-    return Index(nodes.dropDuplicates(["id"]), loaded, orphans, embeddings, manifest)
+    return Index(latest_nodes(nodes), loaded, orphans, embeddings, manifest)
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -100,23 +113,30 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, edge_types: list[st
 
 
 def reverse_traverse(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """(id, dist, path, edge_types) of what refers to ``root`` within ``depth``, by the first path.
+    """(id, dist, path, edge_types) of what refers to ``root`` within ``depth``, by the path found first.
 
-    ``path`` starts at the root; ``edge_types`` has the edge of each step.  Of a level's paths to
-    a node the first by (path so far, edge_seq, edge_type) stays.
+    ``path`` starts at the root; ``edge_types`` has the edge of each step.  Breadth first, a
+    node's referrers are found in the order of their edges (``edge_seq``, then id), and nodes of
+    a level in the order in which their parents were.  So the order of discovery is that of the
+    lists of (edge_seq, id) along the paths, and needs no running number over a level.
     """
     spark = edges.sparkSession
     steps = edges.select(F.col("to_node").alias("id"), F.col("from_node").alias("next"), "edge_type", "edge_seq")
-    frontier = spark.createDataFrame([(root, 0, [root], [])], "id string, dist int, path array<string>, edge_types array<string>")
+    frontier = spark.createDataFrame([(root, 0, [root], [], [])], "id string, dist int, path array<string>, edge_types array<string>, found array<struct<seq:bigint,id:string>>")
     reached = frontier
     for level in range(1, depth + 1):
-        found = frontier.join(steps, "id").select(F.col("next"), F.struct("path", "edge_seq", "edge_type", "edge_types").alias("by"))
-        best = found.join(reached.select(F.col("id").alias("next")), "next", "left_anti").groupBy("next").agg(F.min("by").alias("by"))
-        frontier = best.select(F.col("next").alias("id"), F.lit(level).alias("dist"), F.concat("by.path", F.array("next")).alias("path"), F.concat("by.edge_types", F.array("by.edge_type")).alias("edge_types"))
+        by = F.struct("found", "edge_seq", "edge_type", "path", "edge_types")
+        met = frontier.join(steps, "id").select("next", by.alias("by")).join(reached.select(F.col("id").alias("next")), "next", "left_anti")
+        best = met.groupBy("next").agg(F.min("by").alias("by"))
+        step = F.struct(F.col("by.edge_seq").alias("seq"), F.col("next").alias("id"))
+        frontier = best.select(
+            F.col("next").alias("id"), F.lit(level).alias("dist"), F.concat("by.path", F.array("next")).alias("path"),
+            F.concat("by.edge_types", F.array("by.edge_type")).alias("edge_types"), F.concat("by.found", F.array(step)).alias("found"),
+        )
         if level < depth:
             frontier = persisted(frontier)
         reached = reached.unionByName(frontier)
-    return reached.where("dist > 0")
+    return reached.where("dist > 0").drop("found")
 
 
 def running_budget(rows: DataFrame, tokens: str, order: list, most: int, first_is_free: bool) -> DataFrame:

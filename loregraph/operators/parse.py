@@ -1,27 +1,66 @@
 """Parsing of Markdown specifications into rows and columns, by built-in expressions.
 
-A document is a row (path, content).  Front matter is simple ``key: value`` lines and lists;
-sections are a fold over a document's lines.
+A document is a row (path, content).  Front matter is YAML: plain ``key: value`` lines and
+lists are read by expressions, all else by a YAML parser in Arrow batches.  Sections are one
+fold over a document's lines.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from loregraph.functions import columns as C
 
 SECTION = "struct<heading:string,level:int,content:string,path:string>"
 LINK = "struct<raw:string,target:string,domain:string,alias:string>"
+FENCE = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|$)"
+#: Blocks that need no YAML parser: keys with a plain or quoted value or a one-line list, and lists of plain items.
+PLAIN = r"(?:[A-Za-z_][\w-]*:[ \t]*(?:[^\s'\"\[\]{}|>&*!%@`#,][^'\"\[\]{}#:,\n]*|\"[^\"\\\n]*\"|'[^'\n]*'|\[[^'\"\[\]{}#:\n]*\])?[ \t]*\n|[ \t]+- [^\s'\"\[\]{}|>&*!%@`#,:][^'\"\[\]{}#:,\n]*\n|[ \t]*\n)*"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, however often the body names it, in loops too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def yaml_fields(block: str) -> dict[str, str] | None:
+    """Fields of a YAML mapping as texts; lists and mappings as JSON; none where it isn't a mapping."""
+    import yaml
+
+    try:
+        found = yaml.load(block, Loader=yaml.BaseLoader)  # scalars stay as they are written
+    except yaml.YAMLError:
+        return None
+    if found is None:
+        return {}
+    if not isinstance(found, dict):
+        return None
+    return {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in found.items()}
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def parsed_yaml(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in blocks:
+        yield batch.map(lambda b: None if b is None else yaml_fields(b))
 
 
 def front_matter(content: Column) -> tuple[Column, Column]:
-    """(map of fields, body) of a text.  A text without a fence at its start is all body."""
-    fence = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|$)"
-    has = content.rlike(fence)
-    block = F.when(has, F.regexp_extract(content, fence, 1)).otherwise("")
+    """(map of fields, body) of a text.
+
+    A text without a fence at its start, or with something between the fences that is no YAML
+    mapping, is all body.  Lists and mappings are JSON texts, but for plain ones (see ``listed``).
+    """
+    has = content.rlike(FENCE)
+    block = F.when(has, F.regexp_replace(F.regexp_extract(content, FENCE, 1), r"\r", ""))
+    plain = F.concat(block, F.lit("\n")).rlike(f"^{PLAIN}$")
     # list items under a key go on its line
-    flat = F.regexp_replace(F.regexp_replace(block, r"\r", ""), r"\n\s+- ", " , ")
+    flat = F.regexp_replace(F.coalesce(block, F.lit("")), r"\n[ \t]+- ", " , ")
     pairs = F.filter(F.split(flat, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
     key = lambda x: F.trim(F.substring_index(x, ":", 1))
     value = lambda x: F.regexp_replace(C.trim_all(F.regexp_replace(x, r"^[^:]*:", "")), r"^(['\"])(.*)\1$", "$2")
@@ -29,14 +68,26 @@ def front_matter(content: Column) -> tuple[Column, Column]:
     # the last of a key's lines counts
     none = F.array().cast("array<struct<key:string,value:string>>")
     last = F.aggregate(entries, none, lambda acc, e: F.concat(F.filter(acc, lambda a: a["key"] != e["key"]), F.array(e)))
-    return F.map_from_entries(last), F.when(has, F.regexp_replace(content, fence, "")).otherwise(content)
+    parsed = parsed_yaml(F.when(has & ~plain, block))
+    fields = F.when(F.coalesce(plain, F.lit(True)), F.map_from_entries(last)).otherwise(parsed)
+    is_body = ~has | fields.isNull()
+    return F.coalesce(fields, F.create_map().cast("map<string,string>")), F.when(is_body, content).otherwise(F.regexp_replace(content, FENCE, ""))
 
 
 def listed(value: Column) -> Column:
-    """A front-matter value as a list: ``[a, b]``, items of lines, or one value; none if empty."""
+    """A front-matter value as a list: a JSON array, ``[a, b]``, items of lines, or one value; none if empty."""
     inner = F.regexp_replace(F.coalesce(value, F.lit("")), r"^\[|\]$", "")
     items = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(C.trim_all(x), r"^(['\"])(.*)\1$", "$2"))
-    return F.filter(items, lambda x: x != "")
+    made = F.when(value.rlike(r'^\["'), F.from_json(value, "array<string>"))
+    return F.filter(F.coalesce(made, items), lambda x: x != "")
+
+
+def heading_level(line: Column) -> Column:
+    return F.length(F.regexp_extract(line, "^(#+)", 1))
+
+
+def heading_text(line: Column) -> Column:
+    return F.regexp_replace(line, r"^#+\s*", "")
 
 
 def sections(body: Column, fence_aware: bool = False) -> Column:
@@ -46,35 +97,34 @@ def sections(body: Column, fence_aware: bool = False) -> Column:
     backticks); its section has the lines up to the next one.  ``path`` joins the anchors of the
     headings that it stands under.  Text before the first heading belongs to none.
     """
-    lines = F.split(body, "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    if fence_aware:
-        state = F.aggregate(
-            numbered,
-            F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<i:int,line:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                F.when(x["line"].startswith("```"), ~acc["open"]).otherwise(acc["open"]).alias("open"),
-                F.when(~acc["open"] & x["line"].startswith("#"), F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"),
-            ),
-        )
-        heads = state["out"]
-    else:
-        heads = F.filter(numbered, lambda x: x["line"].startswith("#"))
-    level = lambda line: F.length(F.regexp_extract(line, "^(#+)", 1))
-    named = F.transform(heads, lambda h: F.struct(h["i"].alias("i"), level(h["line"]).alias("level"), F.regexp_replace(h["line"], r"^#+\s*", "").alias("heading")))
     stack = "array<struct<level:int,anchor:string>>"
-    start = F.struct(F.array().cast(stack).alias("stack"), F.array().cast("array<string>").alias("paths"))
+    head = "array<struct<i:int,level:int,heading:string,path:string>>"
+    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("open"), F.array().cast(stack).alias("stack"), F.array().cast(head).alias("heads"))
 
-    def step(acc: Column, h: Column) -> Column:
+    def opened(acc: Column, line: Column) -> Column:
+        level = heading_level(line)
+        mark = F.struct(level.alias("level"), C.anchor(heading_text(line)).alias("anchor"))
         # levels rise along the stack, so what stays is what is lower
-        above = F.concat(F.filter(acc["stack"], lambda s: s["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), C.anchor(h["heading"]).alias("anchor"))))
-        return F.struct(above.alias("stack"), F.concat(acc["paths"], F.array(F.array_join(F.transform(above, lambda s: s["anchor"]), "."))).alias("paths"))
+        above = F.concat(F.filter(acc["stack"], lambda s: s["level"] < level), F.array(mark))
+
+        def added(now: Column) -> Column:
+            path = F.array_join(F.transform(now, lambda s: s["anchor"]), ".")
+            entry = F.struct(acc["i"].alias("i"), level.alias("level"), heading_text(line).alias("heading"), path.alias("path"))
+            return F.struct((acc["i"] + 1).alias("i"), acc["open"].alias("open"), now.alias("stack"), F.concat(acc["heads"], F.array(entry)).alias("heads"))
+
+        return let(above, added)
+
+    def step(acc: Column, line: Column) -> Column:
+        fence = line.startswith("```") if fence_aware else F.lit(False)
+        passed = F.struct((acc["i"] + 1).alias("i"), (acc["open"] != fence).alias("open"), acc["stack"].alias("stack"), acc["heads"].alias("heads"))
+        return F.when(line.startswith("#") & ~acc["open"], opened(acc, line)).otherwise(passed)
 
-    paths = F.aggregate(named, start, step, lambda acc: acc["paths"])
-    upto = lambda k: F.coalesce(F.get(named, k + 1)["i"], F.size(lines))
-    text = lambda h, k: C.trim_all(F.array_join(F.slice(lines, h["i"] + 2, upto(k) - h["i"] - 1), "\n"))
-    made = F.transform(named, lambda h, k: F.struct(h["heading"].alias("heading"), h["level"].alias("level"), text(h, k).alias("content"), F.get(paths, k).alias("path")))
-    return made.cast(f"array<{SECTION}>")
+    def made(lines: Column, heads: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get(heads, k + 1)["i"], F.size(lines))
+        text = lambda h, k: C.trim_all(F.array_join(F.slice(lines, h["i"] + 2, upto(k) - h["i"] - 1), "\n"))
+        return F.transform(heads, lambda h, k: F.struct(h["heading"].alias("heading"), h["level"].alias("level"), text(h, k).alias("content"), h["path"].alias("path")))
+
+    return let(F.split(body, "\n", -1), lambda lines: let(F.aggregate(lines, start, step, lambda acc: acc["heads"]), lambda heads: made(lines, heads))).cast(f"array<{SECTION}>")
 
 
 def wiki_links(text: Column) -> Column:
@@ -99,21 +149,26 @@ def link_targets(text: Column) -> Column:
 def table_rows(content: Column) -> Column:
     """Rows of all lines that start with a bar, as maps by the first one's cells; the second is skipped.
 
-    Rows with too few cells are dropped; of equal headers the last counts.
+    Rows with too few cells are dropped; of equal headers the last counts.  Null has none.
     """
-    lines = F.filter(F.transform(F.split(C.trim_all(content), "\n"), C.trim_all), lambda x: x.startswith("|"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
     cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|", -1), C.trim_all)
-    heads = F.transform(cells(F.get(lines, 0)), lambda h: F.regexp_replace(h, "`", ""))
 
-    def row(line: Column) -> Column:
-        entries = F.zip_with(heads, F.slice(cells(line), 1, F.size(heads)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-        kept = F.filter(entries, lambda e: F.lit(True))
-        none = F.array().cast("array<struct<key:string,value:string>>")
-        last = F.aggregate(kept, none, lambda acc, e: F.when(F.exists(acc, lambda a: a["key"] == e["key"]), F.transform(acc, lambda a: F.when(a["key"] == e["key"], e).otherwise(a))).otherwise(F.concat(acc, F.array(e))))
+    def row(values: Column, heads: Column) -> Column:
+        entries = F.zip_with(heads, F.slice(values, 1, F.size(heads)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        last = F.aggregate(entries, none, lambda acc, e: F.when(F.exists(acc, lambda a: a["key"] == e["key"]), F.transform(acc, lambda a: F.when(a["key"] == e["key"], e).otherwise(a))).otherwise(F.concat(acc, F.array(e))))
         return F.map_from_entries(last)
 
-    whole = F.filter(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))), lambda x: F.size(cells(x)) >= F.size(heads))
-    return F.when(F.size(lines) >= 2, F.transform(whole, row)).otherwise(F.array().cast("array<map<string,string>>"))
+    def rows(lines: Column, heads: Column) -> Column:
+        split = F.transform(F.slice(lines, 3, F.size(lines)), cells)
+        return F.transform(F.filter(split, lambda v: F.size(v) >= F.size(heads)), lambda v: row(v, heads))
+
+    def made(lines: Column) -> Column:
+        heads = F.transform(cells(F.get(lines, 0)), lambda h: F.regexp_replace(h, "`", ""))
+        return F.when(F.size(lines) >= 2, let(heads, lambda h: rows(lines, h))).otherwise(F.array().cast("array<map<string,string>>"))
+
+    lines = F.filter(F.transform(F.split(C.trim_all(content), "\n"), C.trim_all), lambda x: x.startswith("|"))
+    return F.when(content.isNotNull(), let(lines, made))
 
 
 def list_items(content: Column) -> Column:
@@ -126,13 +181,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=\.)\s+"), C.trim_all), lambda x: x != "")
 
 
-def named_in(names: list[str]):
-    wanted = [n.lower() for n in names]
-    return lambda s: F.lower(s["heading"]).isin(wanted)
+def sections_named(found: Column, heads: Column) -> Column:
+    """Sections whose heading, in lower case, is one of ``heads``."""
+    return F.filter(found, lambda s: F.array_contains(heads, F.lower(s["heading"])))
 
 
 def find_sections(found: Column, *names: str) -> Column:
-    return F.filter(found, named_in(list(names)))
+    return sections_named(found, F.array(*[F.lit(n.lower()) for n in names]).cast("array<string>"))
 
 
 def find_section(found: Column, *names: str) -> Column:
@@ -140,26 +195,44 @@ def find_section(found: Column, *names: str) -> Column:
     return F.get(find_sections(found, *names), 0)
 
 
-def section_with_children(found: Column, *names: str) -> Column:
-    """The first such section's text, and those deeper ones that follow it, each under a new heading."""
-    at = F.array_position(F.transform(found, lambda s: F.when(named_in(list(names))(s), F.lit(1)).otherwise(0)), 1).cast("int")
-    own = F.get(found, at - 1)
-    after = F.slice(found, at + 1, F.size(found))
-    stop = F.array_position(F.transform(after, lambda s: F.when(s["level"] <= own["level"], F.lit(1)).otherwise(0)), 1).cast("int")
-    children = F.when(stop > 0, F.slice(after, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(after)
-    parts = F.concat(F.when(own["content"] != "", F.array(own["content"])).otherwise(F.array().cast("array<string>")), F.transform(children, lambda s: F.concat(F.lit("### "), s["heading"], F.lit("\n\n"), s["content"])))
-    return F.when((at > 0) & (F.size(parts) > 0), F.array_join(parts, "\n\n"))
+def section_with_children(found: Column, heads: Column) -> Column:
+    """The first section of one of ``heads`` (lower case), and those deeper ones that follow it, each under a new heading."""
+
+    def under(own: Column, after: Column) -> Column:
+        stop = F.array_position(F.transform(after, lambda s: (s["level"] <= own["level"]).cast("int")), 1).cast("int")
+        children = F.when(stop > 0, F.slice(after, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(after)
+        parts = F.concat(F.filter(F.array(own["content"]), lambda t: t != ""), F.transform(children, lambda s: F.concat(F.lit("### "), s["heading"], F.lit("\n\n"), s["content"])))
+        return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))
+
+    at = F.array_position(F.transform(found, lambda s: F.array_contains(heads, F.lower(s["heading"])).cast("int")), 1).cast("int")
+    return let(at, lambda i: F.when(i > 0, let(F.slice(found, i + 1, F.size(found)), lambda after: under(F.get(found, i - 1), after))))
 
 
 def read_section(content: Column, wanted: str) -> Column:
-    """The raw lines under the heading of an anchor, up to the next one that is not deeper; null if none."""
-    lines = F.split(content, "\n", -1)
-    level = lambda x: F.length(F.regexp_extract(x, "^(#+)", 1))
-    marks = F.transform(lines, lambda x, i: F.struct(i.alias("i"), level(x).alias("level"), C.anchor(F.regexp_replace(x, r"^#+\s*", "")).alias("anchor")))
-    heads = F.filter(marks, lambda m: m["level"] > 0)
-    own = F.get(F.filter(heads, lambda m: m["anchor"] == wanted), 0)
-    following = F.get(F.filter(heads, lambda m: (m["i"] > own["i"]) & (m["level"] <= own["level"])), 0)
-    return F.when(own.isNotNull(), C.trim_all(F.array_join(F.slice(lines, own["i"] + 1, F.coalesce(following["i"], F.size(lines)) - own["i"]), "\n")))
+    """The raw lines under the heading of an anchor, up to the next one that is not deeper; null if none.
+
+    The anchor may be given with its accents.
+    """
+    names = F.array(F.lit(wanted), C.anchor(F.lit(wanted)))
+
+    def marks(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].startswith("#"))
+        return F.transform(heads, lambda x: F.struct(x["i"].alias("i"), heading_level(x["line"]).alias("level"), C.anchor(heading_text(x["line"])).alias("anchor")))
+
+    def under(lines: Column, heads: Column, own: Column) -> Column:
+        following = F.get(F.filter(heads, lambda m: (m["i"] > own["i"]) & (m["level"] <= own["level"])), 0)
+        return F.when(own.isNotNull(), C.trim_all(F.array_join(F.slice(lines, own["i"] + 1, F.coalesce(following["i"], F.size(lines)) - own["i"]), "\n")))
+
+    def found(lines: Column) -> Column:
+        return let(marks(lines), lambda heads: let(F.get(F.filter(heads, lambda m: F.array_contains(names, m["anchor"])), 0), lambda own: under(lines, heads, own)))
+
+    return let(F.split(content, "\n", -1), found)
+
+
+def read_sections(files: DataFrame, path: str, wanted: str | None = None) -> DataFrame:
+    """(path, section) of the files of this path: the text under the anchor, or the whole text."""
+    own = files.where(F.col("path") == path)
+    return own.select("path", (F.col("content") if wanted is None else read_section(F.col("content"), wanted)).alias("section"))
 
 
 def parse_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,7 @@ def need_node(index: Index, node: str):
 def graph_query(index: Index, root: str, depth: int = 2, edge_types: list[str] | None = None, kinds: list[str] | None = None, respect_layers: bool = True) -> Result:
     """What lies within ``depth`` of ``root``, nearer first: node_id, score, snippet, match_source."""
     need_node(index, root)
+    index = index.walkable()
     seeds = index.nodes.sparkSession.createDataFrame([(root, root)], "seed string, id string")
     reached, touched = traverse(index.edges, seeds, depth, edge_types, respect_layers)
     near = reached.where("dist > 0").join(index.nodes, "id").where(kind_layer(kinds, None))
@@ -121,6 +122,7 @@ def hybrid_query(index: Index, text: str, vector: list[float] | None = None, exp
     scored = semantic.select("id", "semantic", zero.alias("graph"), zero.alias("lexical")).unionByName(lexical.select("id", zero.alias("semantic"), zero.alias("graph"), "lexical"))
     tables = {}
     if expand_graph:
+        index = index.walkable()
         seeds = persisted(scored.select("id").distinct())
         hits, touched = near_seeds(index, seeds, depth, respect_layers)
         near = hits.join(passing.select("id"), "id").select("id", zero.alias("semantic"), F.lit(CONSTANT_SCORE).alias("graph"), zero.alias("lexical"))
@@ -160,6 +162,7 @@ def near_seeds(index: Index, seeds: DataFrame, depth: int, respect_layers: bool)
 def impact_query(index: Index, node: str, change: str = "modify_attribute", depth: int = 3) -> Result:
     """Direct: a row for each incoming edge.  Tables: transitive (first path of each node), scenarios, truncated."""
     need_node(index, node)
+    index = index.walkable()
     kinds = index.nodes.select(F.col("id").alias("node_id"), "kind", title_of().alias("title"))
     direct = incoming(index.edges, node).select(F.col("from_node").alias("node_id"), "edge_type").join(kinds, "node_id")
     direct = direct.select("node_id", "kind", "edge_type", C.impact_description(F.col("edge_type"), change).alias("impact_description"))
@@ -170,8 +173,9 @@ def impact_query(index: Index, node: str, change: str = "modify_attribute", dept
     transitive = beyond.join(kinds, "node_id").select("node_id", "kind", F.slice("path", 1, F.size("path") - 1).alias("path"), "edge_types", "dist")
     affected = own.unionByName(transitive.select("node_id")).unionByName(spark.createDataFrame([(node,)], "node_id string")).distinct()
     validating = index.edges.where("edge_type = 'VALIDATES'").join(affected.withColumnRenamed("node_id", "to_node"), "to_node", "left_semi")
-    scenarios = validating.select(F.col("from_node").alias("node_id"), F.concat(F.lit("Validates "), "to_node").alias("reason")).join(kinds, "node_id").select("node_id", F.col("title").alias("scenario_name"), "reason")
-    edge_of_walk = walked.where(F.col("dist") == depth).select(F.col("id").alias("to_node"))
+    scenarios = validating.select(F.col("from_node").alias("node_id"), F.concat(F.lit("Validates "), "to_node", F.lit(" which is affected")).alias("reason")).join(kinds, "node_id").select("node_id", F.col("title").alias("scenario_name"), "reason")
+    last = walked.where(F.col("dist") == depth).select(F.col("id").alias("to_node"))
+    edge_of_walk = last if depth > 1 else own.select(F.col("node_id").alias("to_node"))
     further = index.edges.join(edge_of_walk, "to_node", "left_semi").join(affected.withColumnRenamed("node_id", "from_node"), "from_node", "left_anti")
     return Result(direct, {"transitive": transitive, "scenarios": scenarios, "truncated": further.select(F.col("from_node").alias("node_id")).distinct()})
 
@@ -321,6 +325,7 @@ def context_query(index: Index, hints: list[str], depth: int = 1, max_tokens: in
     if not hints:
         raise QueryError("EMPTY_HINTS", "name at least one hint")
     resolved, warnings = resolve_hints(index, hints, prefixes)
+    index = index.walkable()
     arrow = lambda a, t, b: F.concat(a, F.lit(" -> "), t, F.lit(" -> "), b)
     roots = resolved.select(F.col("node_id").alias("id"), F.col("node_id").alias("via"), F.lit(0).alias("distance"), "seq", F.lit(0).alias("step"), F.col("node_id").alias("root"))
     ends = index.edges.select("from_node", "to_node", "edge_type")

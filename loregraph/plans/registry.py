@@ -9,7 +9,7 @@ from loregraph.functions import columns as C
 from loregraph.operators import graph as G
 from loregraph.operators import vector as V
 from loregraph.plans import queries as Q
-from loregraph.plans import spec_registry
+from loregraph.plans import document_registry, spec_registry
 from loregraph.sources import relgraph as R
 
 FLAGSHIP = "hybrid_fused"
@@ -43,10 +43,6 @@ def layer_violations(spark, d) -> DataFrame:
     return Q.violations_query(R.index(spark, d)).rows
 
 
-def layer_violations_filtered(spark, d) -> DataFrame:
-    return Q.violations_query(R.index(spark, d), kinds=["orders"], layers=["02-behavior"]).rows
-
-
 def violation_rate(spark, d) -> DataFrame:
     return Q.violations_query(R.index(spark, d)).tables["summary"]
 
@@ -106,18 +102,18 @@ def impact_transitive(spark, d) -> DataFrame:
     return rows.select("node_id", "kind", F.array_join("path", ">").alias("path"), F.array_join("edge_types", ">").alias("edge_types"))
 
 
-IMPACT_SQL = R.SQL + """, l0 AS (SELECT 'Supplier:1' AS id, ['Supplier:1'] AS path, CAST([] AS VARCHAR[]) AS types),
-l1 AS (SELECT * FROM (SELECT e.from_node AS id, list_append(path, e.from_node) AS path, list_append(types, e.edge_type) AS types,
-         row_number() OVER (PARTITION BY e.from_node ORDER BY path, e.edge_seq, e.edge_type) AS rn FROM l0 JOIN edges e ON e.to_node = l0.id)
-       WHERE rn = 1 AND id NOT IN (SELECT id FROM l0)),
-l2 AS (SELECT * FROM (SELECT e.from_node AS id, list_append(path, e.from_node) AS path, list_append(types, e.edge_type) AS types,
-         row_number() OVER (PARTITION BY e.from_node ORDER BY path, e.edge_seq, e.edge_type) AS rn FROM l1 JOIN edges e ON e.to_node = l1.id)
-       WHERE rn = 1 AND id NOT IN (SELECT id FROM l0) AND id NOT IN (SELECT id FROM l1)),
-l3 AS (SELECT * FROM (SELECT e.from_node AS id, list_append(path, e.from_node) AS path, list_append(types, e.edge_type) AS types,
-         row_number() OVER (PARTITION BY e.from_node ORDER BY path, e.edge_seq, e.edge_type) AS rn FROM l2 JOIN edges e ON e.to_node = l2.id)
-       WHERE rn = 1 AND id NOT IN (SELECT id FROM l0) AND id NOT IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM l2))
-SELECT w.id AS node_id, n.kind, array_to_string(path[1:len(path) - 1], '>') AS path, array_to_string(types, '>') AS edge_types
+def _impact_level(level: int) -> str:
+    seen = " ".join(f"AND e.from_node NOT IN (SELECT id FROM l{i})" for i in range(level))
+    return f""", l{level} AS (SELECT id, list_append(path, id) AS path, list_append(types, edge_type) AS types, list_append(found, {{'seq': edge_seq, 'id': id}}) AS found
+  FROM (SELECT e.from_node AS id, e.edge_type, e.edge_seq, p.path, p.types, p.found FROM l{level - 1} p JOIN edges e ON e.to_node = p.id WHERE true {seen})
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY found, edge_seq, edge_type) = 1)"""
+
+
+IMPACT_SQL = (
+    R.SQL + ", l0 AS (SELECT 'Supplier:1' AS id, ['Supplier:1'] AS path, CAST([] AS VARCHAR[]) AS types, CAST([] AS STRUCT(seq INTEGER, id VARCHAR)[]) AS found)" + "".join(map(_impact_level, (1, 2, 3)))
+    + """ SELECT w.id AS node_id, n.kind, array_to_string(path[1:len(path) - 1], '>') AS path, array_to_string(types, '>') AS edge_types
 FROM (SELECT id, path, types FROM l2 UNION ALL SELECT id, path, types FROM l3) w JOIN nodes n ON n.id = w.id"""
+)
 
 
 def cosine_topk(spark, d) -> DataFrame:
@@ -232,7 +228,6 @@ def queries() -> dict:
         "orphan_rate": orphan_rate,
         "load_graph_dedup": load_graph,
         "layer_violations": layer_violations,
-        "layer_violations_filtered": layer_violations_filtered,
         "violation_rate": violation_rate,
         "coverage_customer": coverage_customer,
         "coverage_percent": coverage_percent,
@@ -261,7 +256,7 @@ def queries() -> dict:
         "list_nodes": list_nodes,
         "stats": stats,
         "labels_precision": labels_precision,
-    } | spec_registry.queries()
+    } | spec_registry.queries() | document_registry.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -283,7 +278,6 @@ rows AS (SELECT name, r.edge_type, CASE WHEN count(o) > 0 THEN 'covered' ELSE 'm
         "orphan_rate": s + f"{summary} (SELECT (SELECT count(*) FROM orphans) AS v, {loaded} AS a)",
         "load_graph_dedup": s + "SELECT CAST(edge_seq AS BIGINT) AS edge_seq, from_node, to_node, edge_type, layer_violation FROM edges",
         "layer_violations": s + broken,
-        "layer_violations_filtered": s + broken,
         "violation_rate": s + f"{summary} (SELECT count_if(layer_violation) AS v, count(*) AS a FROM edges)",
         "coverage_customer": cover + "SELECT * FROM rows",
         "coverage_percent": cover + "SELECT count_if(status = 'covered') AS present, count_if(status <> 'covered') AS missing, floor(count_if(status = 'covered') / count(*) * 1000 + 0.5) / 10 AS coverage_percent FROM rows",
@@ -317,4 +311,4 @@ SELECT node_id, floor(score * 1e6 + 0.5) / 1e6 AS score, '[customer] ' || node_i
         "list_nodes": s + "SELECT id, kind, id AS title, 'active' AS status FROM nodes WHERE kind IN ('nation', 'supplier')",
         "stats": s + "SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'orphans', count(*) FROM orphans UNION ALL SELECT 'embeddings', count(*) FROM vectors",
         "labels_precision": "SELECT lang, count(*) AS found, floor(avg(CAST(quality AS DOUBLE)) * 1e6 + 0.5) / 1e6 AS precision FROM documents JOIN labels USING (doc_id) WHERE contains(lower(text), 'license') GROUP BY lang",
-    } | spec_registry.oracle_sql()
+    } | spec_registry.oracle_sql() | document_registry.oracle_sql()

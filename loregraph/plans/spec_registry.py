@@ -89,8 +89,8 @@ def sentence_split(spark, d) -> DataFrame:
 
 def chunk_paragraphs(spark, d) -> DataFrame:
     """Chunks of whole texts, lines taken as paragraphs."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(E.packed(F.col("text"), delimiter="\n")).alias("chunk_index", "raw_text"))
-    return docs.select("doc_id", "chunk_index", F.length("raw_text").alias("n_chars"), F.sha2("raw_text", 256).alias("text_hash"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(E.packed(F.col("text"), delimiter="\n")).alias("chunk_index", "chunk"))
+    return docs.select("doc_id", "chunk_index", "chunk.char_offset", F.length("chunk.raw_text").alias("n_chars"), F.sha2("chunk.raw_text", 256).alias("text_hash"))
 
 
 def heading_sections(spark, d) -> DataFrame:
