@@ -153,5 +153,5 @@ def rounded(c: Column, digits: int = 6) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null where a norm is 0 or the sizes differ."""
     total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
+    norms = F.sqrt(total(a, a)) * F.sqrt(total(b, b))  # of a literal a constant, which the planner folds
     return F.when(F.size(a) == F.size(b), total(a, b) / F.nullif(norms, F.lit(0.0)))

@@ -11,7 +11,7 @@ from loregraph.functions import columns as C
 from loregraph.functions.storage import persisted
 from loregraph.operators.graph import EDGE_KEY, Index, followed, incoming, outgoing, reverse_traverse, running_budget, traverse
 from loregraph.operators.vector import best_chunk_per_node, cosine_search, document_of, nodes_of_documents
-from loregraph.schema import CHUNK_SHARE, CONSTANT_SCORE, CONTENT_CUT, CONTEXT_PRIORITY, COVERAGE_RULES, KINDS, QueryError
+from loregraph.schema import CHUNK_SHARE, CONSTANT_SCORE, CONTENT_CUT, CONTEXT_PRIORITY, COVERAGE_RULES, COVERAGE_TEXTS, EDGE_TYPES, KINDS, QueryError
 
 
 @dataclass
@@ -71,6 +71,29 @@ def need_node(index: Index, node: str):
     return found
 
 
+def validate(depth: int | None = None, limit: int | None = None, min_score: float | None = None, edge_types: list[str] | None = None, known: list[str] | None = None) -> None:
+    """Strict checks of a query's arguments, for callers that want them; the queries themselves take any."""
+    if depth is not None and not 1 <= depth <= 5:
+        raise QueryError("INVALID_DEPTH", "Depth must be between 1 and 5")
+    if limit is not None and not 1 <= limit <= 100:
+        raise QueryError("INVALID_LIMIT", "Limit must be between 1 and 100")
+    if min_score is not None and not 0 <= min_score <= 1:
+        raise QueryError("INVALID_SCORE_RANGE", "min_score must be between 0.0 and 1.0")
+    for kind in edge_types or []:
+        if kind.upper() == kind and kind not in (EDGE_TYPES if known is None else known):
+            raise QueryError("INVALID_EDGE_TYPE", f"Unknown edge type: {kind}")
+
+
+def retrieval_quality(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(strategy, queries, precision, p95_seconds): ``hits(query_id, relevant)``, ``queries(query_id, strategy, seconds)``.
+
+    Precision is the mean over queries of the share of relevant hits; queries without hits count for time alone.
+    """
+    per = hits.groupBy("query_id").agg(F.avg(F.col("relevant").cast("double")).alias("share"))
+    rows = queries.join(per, "query_id", "left").groupBy("strategy")
+    return rows.agg(F.count("*").alias("queries"), F.avg("share").alias("precision"), F.percentile("seconds", 0.95).alias("p95_seconds"))
+
+
 def graph_query(index: Index, root: str, depth: int = 2, edge_types: list[str] | None = None, kinds: list[str] | None = None, respect_layers: bool = True) -> Result:
     """What lies within ``depth`` of ``root``, nearer first: node_id, score, snippet, match_source."""
     need_node(index, root)
@@ -194,6 +217,8 @@ def coverage_query(index: Index, node: str, rules: list[tuple[str, str, str]] |
     if not own:
         raise QueryError("UNKNOWN_KIND", f"no coverage rules for {kind}")
     rows = coverage_rows(index.nodes.sparkSession.createDataFrame(own, "pos int, name string, edge_type string"), index.edges, node)
+    texts = {name: text for (k, name), text in COVERAGE_TEXTS.items() if k == kind}
+    rows = rows.withColumn("description", F.coalesce(*[F.when(F.col("name") == n, F.lit(t)) for n, t in texts.items()], F.lit(None).cast("string")))
     present = F.count_if(F.col("status") == "covered")
     summary = rows.agg(present.alias("present"), (F.count("*") - present).alias("missing"), C.percent(present, F.count("*"), 1).alias("coverage_percent"))
     return Result(rows.orderBy("pos"), {"summary": summary})

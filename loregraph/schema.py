@@ -64,6 +64,25 @@ COVERAGE_RULES = [
     ("business-rule", "use_cases", "UC_APPLIES_RULE"),
     ("requirement", "traces", "REQ_TRACES_TO"),
 ]
+# What a coverage rule asks for.
+COVERAGE_TEXTS = {
+    ("entity", "events"): "Domain events emitted by this entity",
+    ("entity", "business_rules"): "Business rules for this entity",
+    ("entity", "use_cases"): "Use cases involving this entity",
+    ("command", "events"): "Events emitted by this command",
+    ("command", "use_cases"): "Use cases that execute this command",
+    ("use-case", "commands"): "Commands executed by this use case",
+    ("use-case", "rules"): "Business rules applied",
+    ("use-case", "requirements"): "Requirements tracing to this UC",
+    ("business-rule", "entity"): "Entity this rule validates",
+    ("business-rule", "use_cases"): "Use cases that apply this rule",
+    ("requirement", "traces"): "Artifacts this requirement traces to",
+}
+# Structural edge types; others, in lower case, are free.
+EDGE_TYPES = [
+    "WIKI_LINK", "DOMAIN_RELATION", "ENTITY_RULE", "ENTITY_POLICY", "EMITS", "CONSUMES", "UC_APPLIES_RULE", "UC_EXECUTES_CMD", "UC_STORY", "VIEW_TRIGGERS_UC", "VIEW_USES_COMPONENT",
+    "COMPONENT_USES_ENTITY", "REQ_TRACES_TO", "VALIDATES", "DECIDES_FOR", "CROSS_DOMAIN_REF", "LAYER_DEPENDENCY", "GLOSSARY_DEFINES",
+]
 # What an incoming edge of a type means for a change.
 IMPACT_TEXTS = {
     "ENTITY_RULE": "Business rule validates this entity",

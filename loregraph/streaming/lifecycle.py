@@ -24,6 +24,13 @@ def last_state(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("t
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("state"), F.count("*").alias("events"))
 
 
+def document_states(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts",), value: str = "event_type") -> DataFrame:
+    """(key, state, events): the state of a document after its last event that is one of ``STATES``; others change nothing."""
+    known = events.where(F.col(value).isin(*STATES))
+    last = last_state(known, key, order, value)
+    return last.select(key, F.coalesce(*[F.when(F.col("state") == e, F.lit(s)) for e, s in STATES.items()]).alias("state"), "events")
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = None, time: str = "ts", by: str = "event_type") -> DataFrame:
     """Events by tumbling window and type; ``late`` sets a watermark for streams."""
     if late and events.isStreaming:
