@@ -27,6 +27,62 @@ def test_likeness_follows_edits():
     assert likeness(*fingerprints(["", "abc"])) == 0.0
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    """The splitmix64 finaliser on plain integers."""
+    x = (x + 0x9E3779B97F4A7C15) & MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def walk(text):
+    """The embedding of a text, step by step: the character at each step, one hex digit of its hash each."""
+    out, at = [], 0
+    while at < len(text):
+        code = ord(text[at])
+        out.append(f"{mixed(code) >> 60:x}")
+        at += mixed(code % 251 * 4096 + (len(out) - 1) % 4096) >> 40 & 1
+    return "".join(out)
+
+
+def test_same_digits_as_a_plain_walk():
+    """Of each scale [2^k, 2^(k+1)) steps, counted from one, at most 32 fixed places are sampled."""
+    rng = random.Random(4)
+    texts = ["a", "ab", "é\u4e2d🙂x", "a" * 300, *("".join(rng.choice("abc déß中🙂") for _ in range(rng.randint(1, 3000))) for _ in range(20))]
+    for text, mark in zip(texts, fingerprints(texts)):
+        steps, want = walk(text), []
+        for k in range(31):
+            low = 1 << k
+            drawn = range(low) if low <= 32 else sorted({mixed(i + (k << 32)) % low for i in range(32)})
+            if low > len(steps):
+                break
+            want += [steps[low + d - 1] if low + d <= len(steps) else "." for d in drawn]
+        assert mark.rstrip(".") == "".join(want).rstrip(".") and len(mark) in SCALE_STARTS
+
+
+def test_recall_at_few_edits(spark):
+    """With 1 of 500 characters edited, nine of ten texts are joined up with their edited copy at a likeness of 0.8."""
+    share, least, recall = 0.002, 0.8, 0.9
+    rng = random.Random(11)
+    base = [words(rng, 220) for _ in range(60)]
+    rows = []
+    for i, text in enumerate(base):
+        edited = list(text)
+        for _ in range(max(1, int(len(text) * share))):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice(([], ["q"], [edited[at], "z"]))
+        rows += [(2 * i, text), (2 * i + 1, "".join(edited))]
+    prints = fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    links = [(r["a"], r["b"]) for r in near_pairs(prints, least=least).collect()]
+    joined = components([i for i, _ in rows], links)
+    found = sum(joined[2 * i] == joined[2 * i + 1] for i in range(len(base)))
+    assert found >= recall * len(base)
+    assert all(a // 2 == b // 2 for a, b in links)
+
+
 def brute(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
