@@ -12,6 +12,8 @@ DIR = "/root/testdata/sf0.001"
 QUICK = [
     "load_graph_dedup", "orphan_rate", "layer_violations", "graph_bfs_d2", "cosine_topk", "lexical_search", "hybrid_fused", "context_items",
     "snapshot_diff", "merge_lww", "merge_delete_wins", "merge_edges", "sentence_split", "heading_sections", "link_extract", "lifecycle_state", "detect_layer",
+    "impact_transitive", "md_sections", "md_wiki_links", "md_table_rows", "md_read_section", "route_kind", "index_nodes", "index_edges", "index_chunks", "index_paragraph_chunks", "index_counters",
+    "apply_diff", "cascade_delete", "layer_violations_filtered", "impact_scenarios", "resolve_hints",
 ]
 
 
