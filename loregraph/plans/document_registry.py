@@ -268,6 +268,11 @@ hit AS (SELECT '{ROOT}' AS id UNION SELECT from_node FROM whole WHERE to_node =
 SELECT from_node AS node_id, CASE i WHEN 1 THEN 'holds' ELSE 'breaks' END AS scenario_name, 'Validates ' || to_node || ' which is affected' AS reason FROM validates WHERE to_node IN (SELECT id FROM hit) AND to_node IN (SELECT id FROM ids)""",
     "impact_truncated": S + _LOADED + """, hit AS (SELECT DISTINCT from_node AS id FROM loaded WHERE to_node = 'CMD:CMD-1')
 SELECT DISTINCT from_node AS node_id FROM loaded WHERE to_node IN (SELECT id FROM hit) AND from_node NOT IN (SELECT id FROM hit) AND from_node <> 'CMD:CMD-1'""",
+    "find_spec": S + _LOADED + """, steps AS (SELECT from_node AS id, to_node AS nxt FROM loaded WHERE NOT layer_violation UNION SELECT to_node, from_node FROM loaded WHERE NOT layer_violation),
+seeds AS (SELECT id FROM ids WHERE contains(lower(id), 'br-2')),
+pairs AS (SELECT s.id AS seed, t.nxt AS id FROM seeds s JOIN steps t ON t.id = s.id UNION SELECT s.id, u.nxt FROM seeds s JOIN steps t ON t.id = s.id JOIN steps u ON u.id = t.nxt),
+scored AS (SELECT id, CASE WHEN id IN (SELECT id FROM seeds) THEN 0.25::DOUBLE ELSE 0.125::DOUBLE END AS score FROM (SELECT DISTINCT id FROM pairs WHERE id <> seed))
+SELECT id AS node_id, score, 'graph' AS match_source FROM scored ORDER BY score DESC, id LIMIT 5""",
     "resolve_hints": S + """, said AS (SELECT * FROM (VALUES ('BR:BR-2', 'BR:BR-2', 'exact'), ('BR:BR-3', 'docs/BR-3.md', 'basename'), ('CMD:CMD-4', 'CMD-4', 'exact'), ('Entity:Part-5', 'part-5', 'exact')) v(node_id, matched_from, match_method))
 SELECT * FROM said WHERE node_id IN (SELECT id FROM md_nodes)""",
 }
