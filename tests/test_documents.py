@@ -148,14 +148,14 @@ def graph(spark, *rows):
 
 
 def test_first_path_of_impact(spark):
-    root, rule = "Entity:KDDDocument", "BR:BR-DOCUMENT-001"
+    root, rule = "Entity:Document", "BR:BR-DOC-001"
     index = graph(spark, (rule, root, "ENTITY_RULE"), ("UC:UC-001", rule, "UC_APPLIES_RULE"), ("UC:UC-001", "CMD:CMD-001", "UC_EXECUTES_CMD"), ("CMD:CMD-001", root, "WIKI_LINK"))
     result = Q.impact_query(index, root)
     assert {(r["node_id"], r["edge_type"]) for r in result.rows.collect()} == {(rule, "ENTITY_RULE"), ("CMD:CMD-001", "WIKI_LINK")}
     assert [(r["node_id"], r["path"], r["edge_types"]) for r in result.tables["transitive"].collect()] == [("UC:UC-001", [root, rule], ["ENTITY_RULE", "UC_APPLIES_RULE"])]
     assert Q.impact_query(index, "UC:UC-001").rows.count() == 0
     with pytest.raises(QueryError, match="NODE_NOT_FOUND"):
-        Q.impact_query(index, "Entity:NoExiste")
+        Q.impact_query(index, "Entity:Absent")
     # by discovery and not by name: Z refers first
     index = graph(spark, ("E:Z", "E:root", "L"), ("E:A", "E:root", "L"), ("E:X", "E:Z", "L"), ("E:X", "E:A", "L"), ("E:Y", "E:X", "L"))
     paths = {r["node_id"]: r["path"] for r in Q.impact_query(index, "E:root").tables["transitive"].collect()}
