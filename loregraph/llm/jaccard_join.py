@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +241,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     rows = profiles_of(docs, width, percent, id_col, text)
     links, labels = set_links(rows, percent)
     discard(*links)
-    sets = rows.select("doc_id", "n_shingles", "set_key")
+    return component_ids(rows.select("doc_id", "n_shingles", "set_key"), labels)
+
+
+def component_ids(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``sets(doc_id, n_shingles, set_key)``, whose linked sets ``labels`` names."""
     by_set = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     linked = by_set.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -269,8 +273,15 @@ def set_links(rows: DataFrame, percent: int = 80) -> tuple[list[DataFrame], Data
     able = rows.where(F.size("tokens") > 0).select("set_key", F.col("n_shingles").alias("n"), "weight", "tokens")
     # a set whose shingles many others have is in the middle of its group: it leads
     profiles = materialise(able.dropDuplicates(["set_key"]), "sets")
-    posted = materialise(postings(profiles, t), "postings")
+    return links_of(profiles, materialise(postings(profiles, t), "postings"), t)
+
 
+def links_of(profiles: DataFrame, posted: DataFrame, t: int, passes: Callable = passes, join_up: Callable = merged) -> tuple[list[DataFrame], DataFrame]:
+    """(links, labels) of the sets of ``profiles(set_key, n, tokens)``, whose candidates share a token of ``posted(token, p)``.
+
+    ``p`` is a struct of weight, key, n and what ``passes(a, b, t)``, the filter of two
+    postings, looks at; ``join_up`` adds links to labels.  Both written tables are deleted.
+    """
     found: list[DataFrame] = []
     tried = labels = None
     for _ in range(LEADER_ROUNDS):
@@ -285,16 +296,16 @@ def set_links(rows: DataFrame, percent: int = 80) -> tuple[list[DataFrame], Data
         pairs = materialise(ends.groupBy("k").agg(F.max("l").alias("l")).select(F.least("k", "l.key").alias("a"), F.greatest("k", "l.key").alias("b")).distinct(), "pairs")
         found.append(materialise(verified(pairs, profiles, t), "verified"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = merged(labels, found[-1])
+        labels = join_up(labels, found[-1])
     labelled = materialise(_labelled(posted, labels), "labelled")
     discard(posted)
-    rest = open_pairs(labelled, t).join(tried, ["a", "b"], "left_anti")
+    rest = open_pairs(labelled, t, passes).join(tried, ["a", "b"], "left_anti")
     found.append(materialise(verified(rest, profiles, t), "verified"))
     discard(labelled, profiles)
-    return found, merged(labels, found[-1])
+    return found, join_up(labels, found[-1])
 
 
-def open_pairs(labelled: DataFrame, t: int) -> DataFrame:
+def open_pairs(labelled: DataFrame, t: int, passes: Callable = passes) -> DataFrame:
     """(a, b): each pair of postings of one shingle that passes the filters and is in different components.
 
     Dealt by shingle and by length, as partners are about equally long: so the postings of a

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loregraph.llm import bpe, fingerprints, jaccard_join, language_id, mixing, quality, token_files, token_rollups, topk_search, warc
+from loregraph.llm import bpe, conversation_repair, filter_audit, fingerprints, jaccard_join, language_id, mixing, quality, super_minhash, token_files, token_rollups, topk_search, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_quality": quality.op9_quality,
         "op10_token_rollups": token_rollups.op10_token_rollups,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_super_minhash": super_minhash.op13_super_minhash,
     }
 
 
@@ -24,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
