@@ -276,16 +276,17 @@ def set_links(rows: DataFrame, percent: int = 80) -> tuple[list[DataFrame], Data
     return links_of(profiles, materialise(postings(profiles, t), "postings"), t)
 
 
-def links_of(profiles: DataFrame, posted: DataFrame, t: int, passes: Callable = passes, join_up: Callable = merged) -> tuple[list[DataFrame], DataFrame]:
+def links_of(profiles: DataFrame, posted: DataFrame, t: int, passes: Callable = passes, join_up: Callable = merged, share: Callable | None = None) -> tuple[list[DataFrame], DataFrame]:
     """(links, labels) of the sets of ``profiles(set_key, n, tokens)``, whose candidates share a token of ``posted(token, p)``.
 
     ``p`` is a struct of weight, key, n and what ``passes(a, b, t)``, the filter of two
-    postings, looks at; ``join_up`` adds links to labels.  Both written tables are deleted.
+    postings, looks at; ``join_up`` adds links to labels.  Where ``share`` is given, a round's leaders are
+    those of the postings for which ``share(round)`` holds.  Both written tables are deleted.
     """
     found: list[DataFrame] = []
     tried = labels = None
-    for _ in range(LEADER_ROUNDS):
-        labelled = _labelled(posted, labels)
+    for number in range(LEADER_ROUNDS):
+        labelled = _labelled(posted.where(share(number)) if share else posted, labels)
         leader = labelled.groupBy("token").agg(F.max(F.struct("p", "component")).alias("l"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         met = labelled.join(leader.select("token", F.col("l.p").alias("l"), F.col("l.component").alias("of")), "token")
         met = met.where((F.col("component") != F.col("of")) & passes("p", "l", t))

@@ -7,12 +7,13 @@
    with a chance equal to their Jaccard similarity, and as a shingle's slots are a permutation
    the count of agreeing slots varies less than with independent hashes.
 2. *Bands.* ``ROWS`` slots are a band; sets that agree in one of ``BANDS`` bands are candidates,
-   if their sizes allow the similarity and two bits of each slot don't differ in more than
-   ``most_different`` slots.
+   if their sizes allow the similarity, two bits of each slot don't differ in more than
+   ``most_different`` slots, and their odd sketches differ in no more bits than a pair at the
+   threshold has differing shingles (each flips one bit, so this filter loses no pair).
 3. *Verification* by the full shingle sets, once a pair.  Texts are read again for the sets that
-   have a candidate.  Two rounds verify each set against one leader of its bands, then the
-   candidates whose ends are in different components, whatever their number, so a group of
-   near copies costs its size and not its square.
+   have a candidate.  Two rounds, each of ``LEADING`` bands, verify each set against one leader
+   of its bands, then the candidates of all bands whose ends are in different components are
+   verified, whatever their number, so a group of near copies costs its size and not its square.
 4. *Groups.* Each task joins up its links by union-find; the forests of all tasks are joined up
    by alternating star contraction.
 
@@ -41,6 +42,11 @@ from loregraph.llm.jaccard_join import component_ids, links_of
 from loregraph.llm.shingles import U, set_key, shingle_sets, splitmix
 
 ROWS, BANDS = 6, 30
+#: Bands whose leaders a round takes, and room for the band's number in a token.
+LEADING = 4
+NUMBERS = 32
+#: 64-bit words of an odd sketch.
+SKETCH = 16
 SLOTS = ROWS * BANDS
 #: Bits of a rank below its round's number.
 RANK_BITS = 24
@@ -84,12 +90,13 @@ def _lower(found: np.ndarray, hashes: np.ndarray, owners: np.ndarray) -> None:
 
 
 def bands_of(ranks: np.ndarray) -> np.ndarray:
-    """(sets, bands) hashes of the bands of signatures, each with the band's number."""
+    """(sets, bands) hashes of the bands of signatures, which end with the band's number."""
     rows = ranks.reshape(len(ranks), -1, ROWS).astype(U)
     mixed = splitmix(np.arange(rows.shape[1], dtype=U))[None, :].repeat(len(ranks), 0)
     for k in range(ROWS):
         mixed = splitmix(mixed ^ rows[:, :, k])
-    return mixed.view(np.int64)
+    numbers = np.arange(rows.shape[1], dtype=U)[None, :]
+    return (mixed & ~U(NUMBERS - 1) | numbers).view(np.int64)
 
 
 def bits_of(ranks: np.ndarray) -> np.ndarray:
@@ -100,6 +107,15 @@ def bits_of(ranks: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two.reshape(len(ranks), words, 32) << (np.arange(32, dtype=U) * U(2)), axis=2).view(np.int64)
 
 
+def odd_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(sets, words) int64: bits that are one where an odd number of a set's elements fell."""
+    sketches = np.zeros((len(sizes), SKETCH), U)
+    owners = np.repeat(np.arange(len(sizes)), sizes)
+    place = ((hashes >> U(40)) & U(SKETCH * 64 - 1)).astype(np.int64)
+    np.bitwise_xor.at(sketches, (owners, place >> 6), U(1) << (place & 63).astype(U))
+    return sketches.view(np.int64)
+
+
 def most_different(t: int) -> int:
     """In how many slots two bits of a pair at ``t`` percent differ at most, but for a chance of 1e-8 (Chernoff's bound)."""
     p = (1 - t / 100) * 0.75
@@ -111,15 +127,21 @@ def most_different(t: int) -> int:
 
 
 def passes(a: str, b: str, t: int) -> Column:
-    """Length filter, and the count of slots in which two bits differ."""
+    """Length filter, the count of slots in which two bits differ, and that of the sketches' differing bits."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     length = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * t
     low = F.lit(0x5555555555555555)
-    differ = F.lit(0)
-    for w in range(-(-SLOTS // 32)):
-        x = F.get(F.col(f"{a}.bits"), w).bitwiseXOR(F.get(F.col(f"{b}.bits"), w))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
-    return length & (differ <= most_different(t))
+    words = -(-SLOTS // 32)
+    x = [F.get(F.col(f"{a}.bits"), w).bitwiseXOR(F.get(F.col(f"{b}.bits"), w)) for w in range(words + SKETCH)]
+    slots = sum((F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 1)).bitwiseAND(low)) for y in x[:words]), F.lit(0))
+    odd = sum((F.bit_count(y) for y in x[words:]), F.lit(0))
+    least = F.ceil((n_a + n_b) * t / (100.0 + t) - 1e-6)
+    return length & (odd <= n_a + n_b - 2 * least) & (slots <= most_different(t))
+
+
+def leading(number: int) -> Column:
+    """Whether a posting's band is one of those whose leaders a round takes."""
+    return F.col("token").bitwiseAND(NUMBERS - 1).between(number * LEADING, (number + 1) * LEADING - 1)
 
 
 def signed_rows(rows: DataFrame, width: int) -> DataFrame:
@@ -139,10 +161,11 @@ def signed_rows(rows: DataFrame, width: int) -> DataFrame:
 
     def signed(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
-        ranks = signatures(np.concatenate(sets), sizes)
+        hashes = np.concatenate(sets)
+        ranks = signatures(hashes, sizes)
         none = sizes == 0
         keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-        lists = [fixed_lists(made, none) for made in (bands_of(ranks), bits_of(ranks))]
+        lists = [fixed_lists(made, none) for made in (bands_of(ranks), np.hstack([bits_of(ranks), odd_sketches(hashes, sizes)]))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "r1", "r2")), pa.array(sizes, pa.int64()), keys, *lists], [c.split(" ")[0] for c in schema.split(", ")])
 
     return rows.select("doc_id", "r1", "r2", "text").mapInArrow(sign, schema)
@@ -207,7 +230,7 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str
     signed = materialise(signed_rows(rows, width), "signed")
     sets = materialise(signed.where("set_key IS NOT NULL").select("set_key", "r1", "r2", F.col("n_shingles").alias("n"), "bands", "bits").dropDuplicates(["set_key"]), "sets")
     profiles, posted = candidates_of(rows, sets, width)
-    links, labels = links_of(profiles, posted, t, passes, lambda labels, links: merged(labels, spanning_forest(links)))
+    links, labels = links_of(profiles, posted, t, passes, lambda labels, links: merged(labels, spanning_forest(links)), leading)
     discard(*links, sets)
     found = component_ids(signed.select("doc_id", "n_shingles", "set_key"), labels)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -160,3 +160,11 @@ def grouped(pairs):
 
 def test_words_are_those_of_the_contract():
     assert WORDS.findall("a\x1cb \x85c\x0bd") == ["a\x1cb", "\x85c", "d"]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(8)
+    for n, d in ((3, 1), (200, 30), (900, 150)):
+        pool = rng.integers(0, 1 << 63, n + d).astype(U)
+        a, b = sm.odd_sketches(np.concatenate([pool[:n], pool[d:]]), np.array([n, n])).view(U)
+        assert 0 < sum(int(x).bit_count() for x in a ^ b) <= 2 * d
