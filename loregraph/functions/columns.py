@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from loregraph.schema import BONUS, DIVISOR, GRAPH_WEIGHT, IMPACT_TEXTS, KINDS, LAYERS, LEXICAL_WEIGHT, LINK_PREFIXES, PREFIX_LAYERS, SEMANTIC_WEIGHT
 
 
+#: Unicode's white space and the byte order mark.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def trim_all(c: Column) -> Column:
-    """Trim all white space, Unicode's too."""
-    return F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    """Trim all white space, Unicode's too; linear in the text, whatever runs of blanks it has."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def layer_number(layer: Column) -> Column:
@@ -90,7 +94,7 @@ def anchor(heading: Column) -> Column:
     several = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(more, c), c)), "")
     text = F.lower(F.when(text.rlike("[^\\x00-\\x7F]"), several).otherwise(text))
     text = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9_\s-]", ""), r"\s+", "-")
-    return F.regexp_replace(text, "^-+|-+$", "")
+    return F.btrim(text, F.lit("-"))
 
 
 def snippet(kind: Column, title: Column) -> Column:

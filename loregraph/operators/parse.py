@@ -20,8 +20,8 @@ from loregraph.functions import columns as C
 SECTION = "struct<heading:string,level:int,content:string,path:string>"
 LINK = "struct<raw:string,target:string,domain:string,alias:string>"
 FENCE = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|$)"
-#: Blocks that need no YAML parser: keys with a plain or quoted value or a one-line list, and lists of plain items.
-PLAIN = r"(?:[A-Za-z_][\w-]*:[ \t]*(?:[^\s'\"\[\]{}|>&*!%@`#,][^'\"\[\]{}#:,\n]*|\"[^\"\\\n]*\"|'[^'\n]*'|\[[^'\"\[\]{}#:\n]*\])?[ \t]*\n|[ \t]+- [^\s'\"\[\]{}|>&*!%@`#,:][^'\"\[\]{}#:,\n]*\n|[ \t]*\n)*"
+#: Lines that need no YAML parser: a key with a plain or quoted value or a one-line list, an item of a list, or blanks.
+PLAIN = r"^(?:[A-Za-z_][\w-]*:[ \t]*(?:[^\s'\"\[\]{}|>&*!%@`#,][^'\"\[\]{}#:,]*|\"[^\"\\]*\"|'[^']*'|\[[^'\"\[\]{}#:]*\])?[ \t]*|[ \t]+- [^\s'\"\[\]{}|>&*!%@`#,:][^'\"\[\]{}#:,]*|[ \t]*)$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,16 +58,17 @@ def front_matter(content: Column) -> tuple[Column, Column]:
     """
     has = content.rlike(FENCE)
     block = F.when(has, F.regexp_replace(F.regexp_extract(content, FENCE, 1), r"\r", ""))
-    plain = F.concat(block, F.lit("\n")).rlike(f"^{PLAIN}$")
+    # line by line: one expression for all lines would recurse with their number
+    plain = F.forall(F.split(block, "\n"), lambda line: line.rlike(PLAIN))
     # list items under a key go on its line
     flat = F.regexp_replace(F.coalesce(block, F.lit("")), r"\n[ \t]+- ", " , ")
     pairs = F.filter(F.split(flat, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
     key = lambda x: F.trim(F.substring_index(x, ":", 1))
     value = lambda x: F.regexp_replace(C.trim_all(F.regexp_replace(x, r"^[^:]*:", "")), r"^(['\"])(.*)\1$", "$2")
-    entries = F.transform(pairs, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
-    # the last of a key's lines counts
-    none = F.array().cast("array<struct<key:string,value:string>>")
-    last = F.aggregate(entries, none, lambda acc, e: F.concat(F.filter(acc, lambda a: a["key"] != e["key"]), F.array(e)))
+    # the last of a key's lines counts: sorted by key and place, it is the one before another key
+    placed = F.array_sort(F.transform(pairs, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), value(x).alias("value"))))
+    lasts = let(placed, lambda all_: F.filter(all_, lambda e, i: (i + 1 == F.size(all_)) | (F.get(all_, i + 1)["key"] != e["key"])))
+    last = F.transform(F.array_sort(F.transform(lasts, lambda e: F.struct(e["i"], e["key"].alias("key"), e["value"].alias("value")))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     parsed = parsed_yaml(F.when(has & ~plain, block))
     fields = F.when(F.coalesce(plain, F.lit(True)), F.map_from_entries(last)).otherwise(parsed)
     is_body = ~has | fields.isNull()

@@ -180,3 +180,30 @@ def test_orphans(spark, case, edges, want, rate):
     result = Q.orphans_query(G.load_graph(nodes, rows))
     assert sorted(r["reason"] for r in result.rows.collect()) == want
     assert result.tables["summary"].first()["rate"] == rate
+
+
+def test_long_front_matter(spark):
+    """100,000 lines of a list, and 100,000 keys, some of them twice."""
+    start = time.perf_counter()
+    listed = "---\nkind: entity\nitems:\n" + "  - item\n" * 100_000 + "---\nbody"
+    fields, body = (one(spark, listed, c) for c in P.front_matter(F.col("t")))
+    assert body == "body" and fields["kind"] == "entity" and fields["items"].count("item") == 100_000
+    keys = "---\n" + "".join(f"k{i % 90_000}: v{i}\n" for i in range(100_000)) + "---\n"
+    fields = one(spark, keys, P.front_matter(F.col("t"))[0])
+    assert len(fields) == 90_000 and fields["k5"] == "v90005" and fields["k50000"] == "v50000"
+    assert one(spark, "---\nb: 1\na: 2\nb: 3\n---\n", F.map_keys(P.front_matter(F.col("t"))[0])) == ["a", "b"]
+    assert time.perf_counter() - start < 30
+
+
+def test_long_runs_of_blanks(spark):
+    start = time.perf_counter()
+    blanks = " \t " * 330_000
+    assert one(spark, f"{blanks}a.{blanks}b{blanks}", P.sentences(F.col("t"))) == ["a.", "b"]
+    assert one(spark, f"﻿{blanks}a{blanks}b　", C.trim_all(F.col("t"))) == f"a{blanks}b"
+    assert one(spark, "-" * 500_000 + "a" + "-" * 500_000 + "b" + "-" * 9, C.anchor(F.col("t")))[0] == "a"
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("text,want", [("# A **bold** [link](x)  end", "A bold link end"), ("a" * 150 + ". " + "b" * 100, "a" * 150 + "."), ("word " * 60, ("word " * 40)[:199] + "..."), ("x" * 250, "x" * 200 + "..."), (" 　", "")])
+def test_text_snippet(spark, text, want):
+    assert one(spark, text, C.text_snippet(F.col("t"))) == want
