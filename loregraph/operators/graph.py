@@ -7,11 +7,12 @@ alone and is written to the shared folder, so neither the plan nor a task grows
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loregraph.functions.storage import persisted
+from loregraph.functions.storage import discard, persisted
 
 EDGE_KEY = ["from_node", "to_node", "edge_type"]
 
@@ -25,10 +26,42 @@ class Index:
     orphans: DataFrame
     embeddings: DataFrame | None = None
     manifest: DataFrame | None = None
+    adjacency: Steps | None = None
 
     def walkable(self) -> Index:
-        """The same index with its edges written once: walks read them several times a level."""
-        return replace(self, edges=persisted(self.edges, "edges"))
+        """The same index with edges to walk on: the stored adjacency, or all edges written once."""
+        if self.adjacency is not None:
+            return self
+        edges = persisted(self.edges, "edges")
+        return replace(self, edges=edges, adjacency=EdgeTable(edges))
+
+
+class Steps(Protocol):
+    """What walks ask of a graph: the edges at the nodes of a frontier."""
+
+    def step(self, frontier: DataFrame, side: str, edge_types: list[str] | None = None, respect_layers: bool = False) -> DataFrame:
+        """Each row of ``frontier(id, ...)`` with the edges out of its node, or ``back`` into it, and ``next``, their other end."""
+
+    def both(self, frontier: DataFrame, edge_types: list[str] | None = None, respect_layers: bool = False) -> DataFrame: ...
+
+
+@dataclass
+class EdgeTable:
+    """Steps by a join with a plain table of edges."""
+
+    table: DataFrame
+
+    def step(self, frontier: DataFrame, side: str, edge_types: list[str] | None = None, respect_layers: bool = False) -> DataFrame:
+        own, other = ("from_node", "to_node") if side == "out" else ("to_node", "from_node")
+        edges = followed(self.table, edge_types, respect_layers)
+        return frontier.join(edges.withColumn("id", F.col(own)), "id").withColumn("next", F.col(other))
+
+    def both(self, frontier: DataFrame, edge_types: list[str] | None = None, respect_layers: bool = False) -> DataFrame:
+        return self.step(frontier, "out", edge_types, respect_layers).unionByName(self.step(frontier, "back", edge_types, respect_layers))
+
+
+def steps_of(edges: DataFrame | Steps) -> Steps:
+    return EdgeTable(edges) if isinstance(edges, DataFrame) else edges
 
 
 def deduplicate_edges(edges: DataFrame) -> DataFrame:
@@ -41,9 +74,8 @@ def deduplicate_edges(edges: DataFrame) -> DataFrame:
 def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with ``from_exists`` and ``to_exists``."""
     ids = nodes.select("id").distinct()
-    # a task's share of the ids is hashed: the edges, which are many more, need no sort
-    ends = edges.join(ids.select(F.col("id").alias("from_node"), F.lit(True).alias("from_exists")).hint("shuffle_hash"), "from_node", "left")
-    ends = ends.join(ids.select(F.col("id").alias("to_node"), F.lit(True).alias("to_exists")).hint("shuffle_hash"), "to_node", "left")
+    ends = edges.join(ids.select(F.col("id").alias("from_node"), F.lit(True).alias("from_exists")), "from_node", "left")
+    ends = ends.join(ids.select(F.col("id").alias("to_node"), F.lit(True).alias("to_exists")), "to_node", "left")
     return ends.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("from_exists", "to_exists")})
 
 
@@ -59,7 +91,12 @@ def load_graph(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None
     """Set orphans aside (duplicates too), keep each other triple once, and one node of an id."""
     ends = with_ends(nodes, edges)
     whole = F.col("from_exists") & F.col("to_exists")
-    loaded = deduplicate_edges(ends.where(whole).select(*edges.columns))
+    # copies go before the ends are looked up
+    ids = nodes.select("id").distinct()
+    loaded = deduplicate_edges(edges)
+    for end in ("from_node", "to_node"):
+        loaded = loaded.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    loaded = loaded.select(*edges.columns)
     reason = F.when(~F.col("from_exists") & ~F.col("to_exists"), "both_missing").when(F.col("from_exists"), "missing_target").otherwise("missing_source")
     orphans = ends.where(~whole).withColumn("reason", reason)
     return Index(latest_nodes(nodes), loaded, orphans, embeddings, manifest)
@@ -90,29 +127,38 @@ def followed(edges: DataFrame, edge_types: list[str] | None = None, respect_laye
     return edges.where(~F.col("layer_violation")) if respect_layers else edges
 
 
-def traverse(edges: DataFrame, roots: DataFrame, depth: int, edge_types: list[str] | None = None, respect_layers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Breadth first in both directions from every row of ``roots(seed, id)``.
+def reach(edges: DataFrame | Steps, roots: DataFrame, depth: int, edge_types: list[str] | None = None, respect_layers: bool = True) -> DataFrame:
+    """(seed, id, dist) of what lies within ``depth`` of every row of ``roots(seed, id)``, breadth first in both directions.
 
-    Returns (seed, id, dist) of what is reached within ``depth``, and the edges at nodes nearer
-    than ``depth``, by seed.  One seed's walk doesn't depend on the others'.
+    One seed's walk doesn't depend on the others'.  Levels are deleted once what they reached
+    is written.
     """
-    usable = followed(edges, edge_types, respect_layers)
-    steps = usable.select(F.col("from_node").alias("id"), F.col("to_node").alias("next")).unionByName(usable.select(F.col("to_node").alias("id"), F.col("from_node").alias("next"))).distinct()
-    frontier = roots.select("seed", "id").distinct()
-    reached = frontier.withColumn("dist", F.lit(0))
+    graph = steps_of(edges)
+    levels = [persisted(roots.select("seed", "id").distinct().withColumn("dist", F.lit(0)), "level")]
+    reached = levels[0]
     for level in range(1, depth + 1):
-        found = frontier.join(steps, "id").select("seed", F.col("next").alias("id")).distinct()
-        frontier = found.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
-        if level < depth:
-            frontier = persisted(frontier)
-        reached = reached.unionByName(frontier.withColumn("dist", F.lit(level)))
+        found = graph.both(levels[-1].select("seed", "id"), edge_types, respect_layers).select("seed", F.col("next").alias("id")).distinct()
+        fresh = found.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("dist", F.lit(level))
+        levels.append(persisted(fresh, "level"))
+        reached = reached.unionByName(levels[-1])
+    reached = persisted(reached, "reached")
+    discard(*levels)
+    return reached
+
+
+def edges_within(edges: DataFrame | Steps, reached: DataFrame, depth: int, edge_types: list[str] | None = None, respect_layers: bool = True) -> DataFrame:
+    """The edges at the nodes that ``reach`` found nearer than ``depth``, by seed."""
     inner = reached.where(F.col("dist") < depth).select("seed", "id")
-    touched = usable.join(inner, usable["from_node"] == inner["id"]).select("seed", *usable.columns)
-    touched = touched.unionByName(usable.join(inner, usable["to_node"] == inner["id"]).select("seed", *usable.columns))
-    return reached, touched.dropDuplicates(["seed", *EDGE_KEY])
+    return steps_of(edges).both(inner, edge_types, respect_layers).drop("id", "next").dropDuplicates(["seed", *EDGE_KEY])
+
+
+def traverse(edges: DataFrame | Steps, roots: DataFrame, depth: int, edge_types: list[str] | None = None, respect_layers: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What ``reach`` and ``edges_within`` give."""
+    reached = reach(edges, roots, depth, edge_types, respect_layers)
+    return reached, edges_within(edges, reached, depth, edge_types, respect_layers)
 
 
-def reverse_traverse(edges: DataFrame, root: str, depth: int) -> DataFrame:
+def reverse_traverse(edges: DataFrame | Steps, root: str, depth: int, spark: SparkSession) -> DataFrame:
     """(id, dist, path, edge_types) of what refers to ``root`` within ``depth``, by the path found first.
 
     ``path`` starts at the root; ``edge_types`` has the edge of each step.  Breadth first, a
@@ -120,23 +166,24 @@ def reverse_traverse(edges: DataFrame, root: str, depth: int) -> DataFrame:
     a level in the order in which their parents were.  So the order of discovery is that of the
     lists of (edge_seq, id) along the paths, and needs no running number over a level.
     """
-    spark = edges.sparkSession
-    steps = edges.select(F.col("to_node").alias("id"), F.col("from_node").alias("next"), "edge_type", "edge_seq")
+    graph = steps_of(edges)
     frontier = spark.createDataFrame([(root, 0, [root], [], [])], "id string, dist int, path array<string>, edge_types array<string>, found array<struct<seq:bigint,id:string>>")
-    reached = frontier
+    reached, levels = frontier, []
     for level in range(1, depth + 1):
         by = F.struct("found", "edge_seq", "edge_type", "path", "edge_types")
-        met = frontier.join(steps, "id").select("next", by.alias("by")).join(reached.select(F.col("id").alias("next")), "next", "left_anti")
+        met = graph.step(frontier, "back").select("next", by.alias("by")).join(reached.select(F.col("id").alias("next")), "next", "left_anti")
         best = met.groupBy("next").agg(F.min("by").alias("by"))
         step = F.struct(F.col("by.edge_seq").alias("seq"), F.col("next").alias("id"))
         frontier = best.select(
             F.col("next").alias("id"), F.lit(level).alias("dist"), F.concat("by.path", F.array("next")).alias("path"),
             F.concat("by.edge_types", F.array("by.edge_type")).alias("edge_types"), F.concat("by.found", F.array(step)).alias("found"),
         )
-        if level < depth:
-            frontier = persisted(frontier)
+        frontier = persisted(frontier, "level")
         reached = reached.unionByName(frontier)
-    return reached.where("dist > 0").drop("found")
+        levels.append(frontier)
+    found = persisted(reached.where("dist > 0").drop("found"), "referrers")
+    discard(*levels)
+    return found
 
 
 def running_budget(rows: DataFrame, tokens: str, order: list, most: int, first_is_free: bool) -> DataFrame:

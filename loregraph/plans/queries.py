@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import columns as C
-from loregraph.functions.storage import persisted
-from loregraph.operators.graph import EDGE_KEY, Index, followed, incoming, outgoing, reverse_traverse, running_budget, traverse
+from loregraph.functions.storage import discard, persisted
+from loregraph.operators.graph import EDGE_KEY, Index, edges_within, incoming, outgoing, reach, reverse_traverse, running_budget, traverse
 from loregraph.operators.vector import best_chunk_per_node, cosine_search, document_of, nodes_of_documents
 from loregraph.schema import CHUNK_SHARE, CONSTANT_SCORE, CONTENT_CUT, CONTEXT_PRIORITY, COVERAGE_RULES, COVERAGE_TEXTS, EDGE_TYPES, KINDS, QueryError
 
 
+class Tables(dict):
+    """Tables by name; one that is given as a function is made when it is first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if not isinstance(found, DataFrame):
+            self[name] = found = found()
+        return found
+
+
 @dataclass
 class Result:
     """Rows of a query, further tables and numbers by name, and warnings."""
 
     rows: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Tables = field(default_factory=Tables)
     warnings: list[str] = field(default_factory=list)
 
 
@@ -99,10 +110,10 @@ def graph_query(index: Index, root: str, depth: int = 2, edge_types: list[str] |
     need_node(index, root)
     index = index.walkable()
     seeds = index.nodes.sparkSession.createDataFrame([(root, root)], "seed string, id string")
-    reached, touched = traverse(index.edges, seeds, depth, edge_types, respect_layers)
+    reached = reach(index.adjacency, seeds, depth, edge_types, respect_layers)
     near = reached.where("dist > 0").join(index.nodes, "id").where(kind_layer(kinds, None))
     rows = near.select(F.col("id").alias("node_id"), (1 / (1 + F.col("dist"))).alias("score"), C.snippet(F.col("kind"), title_of()).alias("snippet"), F.lit("graph").alias("match_source"))
-    return Result(rows, {"edges": touched.drop("seed")})
+    return Result(rows, Tables(edges=lambda: edges_within(index.adjacency, reached, depth, edge_types, respect_layers).drop("seed")))
 
 
 def need_query(text: str) -> None:
@@ -143,7 +154,7 @@ def hybrid_query(index: Index, text: str, vector: list[float] | None = None, exp
     lexical = text_search(passing, text).select("id", F.lit(CONSTANT_SCORE).alias("lexical"))
     zero = F.lit(0.0)
     scored = semantic.select("id", "semantic", zero.alias("graph"), zero.alias("lexical")).unionByName(lexical.select("id", zero.alias("semantic"), zero.alias("graph"), "lexical"))
-    tables = {}
+    tables = Tables()
     if expand_graph:
         index = index.walkable()
         seeds = persisted(scored.select("id").distinct())
@@ -160,26 +171,26 @@ def hybrid_query(index: Index, text: str, vector: list[float] | None = None, exp
     return Result(rows, tables, warnings)
 
 
-def near_seeds(index: Index, seeds: DataFrame, depth: int, respect_layers: bool) -> tuple[DataFrame, DataFrame]:
-    """(ids within ``depth`` of a seed other than themselves, edges touched), without (seed, node) pairs.
+def near_seeds(index: Index, seeds: DataFrame, depth: int, respect_layers: bool) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(ids within ``depth`` of a seed other than themselves, a function that gives the edges touched), without (seed, node) pairs.
 
     Each node keeps its two nearest seeds' names and distances: enough to know whether some
     other seed is near, whatever the number of seeds.
     """
-    usable = followed(index.edges, None, respect_layers)
-    steps = usable.select(F.col("from_node").alias("id"), F.col("to_node").alias("next")).unionByName(usable.select(F.col("to_node").alias("id"), F.col("from_node").alias("next"))).where("id <> next").distinct()
-    known = seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("dist"))
+    known, last = seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("dist")), None
     for level in range(1, depth + 1):
-        moved = known.where(F.col("dist") == level - 1).join(steps, "id").select(F.col("next").alias("id"), "seed", F.lit(level).alias("dist"))
+        moved = index.adjacency.both(known.where(F.col("dist") == level - 1), None, respect_layers).where("id <> next").select(F.col("next").alias("id"), "seed", F.lit(level).alias("dist"))
         nearest = known.unionByName(moved).groupBy("id", "seed").agg(F.min("dist").alias("dist"))
         first = nearest.groupBy("id").agg(F.min(F.struct("dist", "seed")).alias("a"))
         second = nearest.join(first, "id").where(F.col("seed") != F.col("a.seed")).groupBy("id").agg(F.min(F.struct("dist", "seed")).alias("b"))
         both = first.select("id", F.col("a.seed").alias("seed"), F.col("a.dist").alias("dist")).unionByName(second.select("id", F.col("b.seed").alias("seed"), F.col("b.dist").alias("dist")))
         known = persisted(both)
+        if last is not None:
+            discard(last)
+        last = known
     hits = known.where("seed <> id").select("id").distinct()
     inner = known.where(F.col("dist") < depth).select("id").distinct()
-    touched = usable.join(inner.withColumnRenamed("id", "from_node"), "from_node", "left_semi").unionByName(usable.join(inner.withColumnRenamed("id", "to_node"), "to_node", "left_semi").select(*usable.columns)).dropDuplicates(EDGE_KEY)
-    return hits, touched
+    return hits, lambda: index.adjacency.both(inner, None, respect_layers).drop("id", "next").dropDuplicates(EDGE_KEY)
 
 
 def impact_query(index: Index, node: str, change: str = "modify_attribute", depth: int = 3) -> Result:
@@ -187,20 +198,26 @@ def impact_query(index: Index, node: str, change: str = "modify_attribute", dept
     need_node(index, node)
     index = index.walkable()
     kinds = index.nodes.select(F.col("id").alias("node_id"), "kind", title_of().alias("title"))
-    direct = incoming(index.edges, node).select(F.col("from_node").alias("node_id"), "edge_type").join(kinds, "node_id")
+    spark = index.nodes.sparkSession
+    root = spark.createDataFrame([(node,)], "id string")
+    direct = index.adjacency.step(root, "back").select(F.col("next").alias("node_id"), "edge_type").join(kinds, "node_id")
     direct = direct.select("node_id", "kind", "edge_type", C.impact_description(F.col("edge_type"), change).alias("impact_description"))
     own = direct.select("node_id").distinct()
-    spark = index.nodes.sparkSession
-    walked = reverse_traverse(index.edges, node, depth) if depth > 1 else spark.createDataFrame([], "id string, dist int, path array<string>, edge_types array<string>")
+    walked = reverse_traverse(index.adjacency, node, depth, spark) if depth > 1 else spark.createDataFrame([], "id string, dist int, path array<string>, edge_types array<string>")
     beyond = walked.where(F.col("id") != node).withColumnRenamed("id", "node_id").join(own, "node_id", "left_anti")
     transitive = beyond.join(kinds, "node_id").select("node_id", "kind", F.slice("path", 1, F.size("path") - 1).alias("path"), "edge_types", "dist")
     affected = own.unionByName(transitive.select("node_id")).unionByName(spark.createDataFrame([(node,)], "node_id string")).distinct()
-    validating = index.edges.where("edge_type = 'VALIDATES'").join(affected.withColumnRenamed("node_id", "to_node"), "to_node", "left_semi")
-    scenarios = validating.select(F.col("from_node").alias("node_id"), F.concat(F.lit("Validates "), "to_node", F.lit(" which is affected")).alias("reason")).join(kinds, "node_id").select("node_id", F.col("title").alias("scenario_name"), "reason")
-    last = walked.where(F.col("dist") == depth).select(F.col("id").alias("to_node"))
-    edge_of_walk = last if depth > 1 else own.select(F.col("node_id").alias("to_node"))
-    further = index.edges.join(edge_of_walk, "to_node", "left_semi").join(affected.withColumnRenamed("node_id", "from_node"), "from_node", "left_anti")
-    return Result(direct, {"transitive": transitive, "scenarios": scenarios, "truncated": further.select(F.col("from_node").alias("node_id")).distinct()})
+
+    def scenarios() -> DataFrame:
+        validating = index.adjacency.step(affected.withColumnRenamed("node_id", "id"), "back", ["VALIDATES"])
+        return validating.select(F.col("from_node").alias("node_id"), F.concat(F.lit("Validates "), "to_node", F.lit(" which is affected")).alias("reason")).join(kinds, "node_id").select("node_id", F.col("title").alias("scenario_name"), "reason")
+
+    def truncated() -> DataFrame:
+        last = walked.where(F.col("dist") == depth).select("id") if depth > 1 else own.select(F.col("node_id").alias("id"))
+        further = index.adjacency.step(last, "back").join(affected.withColumnRenamed("node_id", "from_node"), "from_node", "left_anti")
+        return further.select(F.col("from_node").alias("node_id")).distinct()
+
+    return Result(direct, Tables(transitive=transitive, scenarios=scenarios, truncated=truncated))
 
 
 def coverage_rows(rules: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -221,7 +238,7 @@ def coverage_query(index: Index, node: str, rules: list[tuple[str, str, str]] |
     rows = rows.withColumn("description", F.coalesce(*[F.when(F.col("name") == n, F.lit(t)) for n, t in texts.items()], F.lit(None).cast("string")))
     present = F.count_if(F.col("status") == "covered")
     summary = rows.agg(present.alias("present"), (F.count("*") - present).alias("missing"), C.percent(present, F.count("*"), 1).alias("coverage_percent"))
-    return Result(rows.orderBy("pos"), {"summary": summary})
+    return Result(rows.orderBy("pos"), Tables(summary=summary))
 
 
 def violations_query(index: Index, kinds: list[str] | None = None, layers: list[str] | None = None) -> Result:
@@ -237,7 +254,7 @@ def violations_query(index: Index, kinds: list[str] | None = None, layers: list[
     rows = rows.select("from_node", "to_node", "from_layer", "to_layer", "edge_type")
     total, analyzed = rows.agg(F.count("*").alias("total")), index.edges.agg(F.count("*").alias("analyzed"))
     summary = total.join(analyzed).select("total", "analyzed", C.percent(F.col("total"), F.col("analyzed"), 2).alias("rate"))  # one row each
-    return Result(rows, {"summary": summary})
+    return Result(rows, Tables(summary=summary))
 
 
 def orphans_query(index: Index, edge_types: list[str] | None = None) -> Result:
@@ -246,7 +263,7 @@ def orphans_query(index: Index, edge_types: list[str] | None = None) -> Result:
     counts = [rows.agg(F.count("*").alias("total")), index.orphans.agg(F.count("*").alias("orphans")), index.edges.agg(F.count("*").alias("loaded"))]
     whole = F.col("loaded") + F.col("orphans")
     summary = counts[0].join(counts[1]).join(counts[2]).select("total", whole.alias("analyzed"), C.percent(F.col("total"), whole, 2).alias("rate"))  # one row each
-    return Result(rows.select("from_node", "to_node", "edge_type", "source_file", "from_exists", "to_exists", "reason"), {"summary": summary})
+    return Result(rows.select("from_node", "to_node", "edge_type", "source_file", "from_exists", "to_exists", "reason"), Tables(summary=summary))
 
 
 def list_nodes(index: Index, kinds: list[str] | None = None, domain: str | None = None) -> DataFrame:
@@ -353,12 +370,12 @@ def context_query(index: Index, hints: list[str], depth: int = 1, max_tokens: in
     index = index.walkable()
     arrow = lambda a, t, b: F.concat(a, F.lit(" -> "), t, F.lit(" -> "), b)
     roots = resolved.select(F.col("node_id").alias("id"), F.col("node_id").alias("via"), F.lit(0).alias("distance"), "seq", F.lit(0).alias("step"), F.col("node_id").alias("root"))
-    ends = index.edges.select("from_node", "to_node", "edge_type")
-    out = ends.join(roots.select(F.col("id").alias("from_node"), "seq"), "from_node").select(F.col("to_node").alias("id"), arrow(F.col("from_node"), F.col("edge_type"), F.col("to_node")).alias("via"), F.lit(1).alias("distance"), "seq", F.lit(1).alias("step"), F.col("from_node").alias("root"))
-    back = ends.join(roots.select(F.col("id").alias("to_node"), "seq"), "to_node").select(F.col("from_node").alias("id"), arrow(F.col("from_node"), F.col("edge_type"), F.col("to_node")).alias("via"), F.lit(1).alias("distance"), "seq", F.lit(2).alias("step"), F.col("to_node").alias("root"))
+    starts = roots.select("id", "seq")
+    out = index.adjacency.step(starts, "out").select(F.col("to_node").alias("id"), arrow(F.col("from_node"), F.col("edge_type"), F.col("to_node")).alias("via"), F.lit(1).alias("distance"), "seq", F.lit(1).alias("step"), F.col("from_node").alias("root"))
+    back = index.adjacency.step(starts, "back").select(F.col("from_node").alias("id"), arrow(F.col("from_node"), F.col("edge_type"), F.col("to_node")).alias("via"), F.lit(1).alias("distance"), "seq", F.lit(2).alias("step"), F.col("to_node").alias("root"))
     found = roots.unionByName(out).unionByName(back)
     if depth > 1:
-        reached, touched = traverse(index.edges, resolved.select(F.col("node_id").alias("seed"), F.col("node_id").alias("id")), depth)
+        reached, touched = traverse(index.adjacency, resolved.select(F.col("node_id").alias("seed"), F.col("node_id").alias("id")), depth)
         near = touched.select("seed", F.explode(F.array("from_node", "to_node")).alias("id"), arrow(F.col("from_node"), F.col("edge_type"), F.col("to_node")).alias("via")).groupBy("seed", "id").agg(F.min("via").alias("via"))
         deep = reached.where("dist > 0").join(near, ["seed", "id"]).join(resolved.select(F.col("node_id").alias("seed"), "seq"), "seed")
         found = found.unionByName(deep.select("id", "via", F.lit(2).alias("distance"), "seq", F.lit(3).alias("step"), F.col("seed").alias("root")))
@@ -373,4 +390,4 @@ def context_query(index: Index, hints: list[str], depth: int = 1, max_tokens: in
     # an item has at least a token, so no more than the budget can fit
     best = items.orderBy(*order).limit(max_tokens)
     rows = running_budget(best, "tokens", order, max_tokens, first_is_free=False).drop("d")
-    return Result(rows, {"resolved": resolved.drop("seq")}, warnings)
+    return Result(rows, Tables(resolved=resolved.drop("seq")), warnings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def load_graph(spark, d) -> DataFrame:
     return R.index(spark, d).edges.select("edge_seq", "from_node", "to_node", "edge_type", "layer_violation")
 
 
+def stored_edges(spark, d) -> DataFrame:
+    """The loaded edges as the session's walk store has them, from the side of their ends."""
+    return R.stored(spark, d).adjacency.back.select("edge_seq", "from_node", "to_node", "edge_type", "layer_violation")
+
+
 def layer_violations(spark, d) -> DataFrame:
     return Q.violations_query(R.index(spark, d)).rows
 
@@ -48,12 +55,12 @@ def violation_rate(spark, d) -> DataFrame:
 
 
 def coverage_customer(spark, d) -> DataFrame:
-    rows = Q.coverage_query(R.index(spark, d), "Customer:1", CUSTOMER_RULES).rows
+    rows = Q.coverage_query(R.stored(spark, d), "Customer:1", CUSTOMER_RULES).rows
     return rows.select("name", "edge_type", "status", F.array_join("found", ",").alias("found"))
 
 
 def coverage_percent(spark, d) -> DataFrame:
-    return Q.coverage_query(R.index(spark, d), "Customer:1", CUSTOMER_RULES).tables["summary"]
+    return Q.coverage_query(R.stored(spark, d), "Customer:1", CUSTOMER_RULES).tables["summary"]
 
 
 def coverage_all(spark, d) -> DataFrame:
@@ -68,16 +75,16 @@ def coverage_all(spark, d) -> DataFrame:
 
 
 def incoming_edges(spark, d) -> DataFrame:
-    return G.incoming(R.index(spark, d).edges, "Nation:3").select("from_node", "edge_type")
+    return G.incoming(R.stored(spark, d).edges, "Nation:3").select("from_node", "edge_type")
 
 
 def outgoing_edges(spark, d) -> DataFrame:
-    return G.outgoing(R.index(spark, d).edges, "Customer:1").select("to_node", "edge_type")
+    return G.outgoing(R.stored(spark, d).edges, "Customer:1").select("to_node", "edge_type")
 
 
 def _bfs(depth: int, **options):
     def run(spark, d) -> DataFrame:
-        rows = Q.graph_query(R.index(spark, d), "Supplier:1", depth, **options).rows
+        rows = Q.graph_query(R.stored(spark, d), "Supplier:1", depth, **options).rows
         return rows.select("node_id", C.rounded(F.col("score")).alias("score"), "snippet")
 
     return run
@@ -90,15 +97,15 @@ FROM walk w JOIN nodes n ON w.id = n.id {where} GROUP BY n.id HAVING min(dist) >
 
 
 def graph_bfs_edges(spark, d) -> DataFrame:
-    return Q.graph_query(R.index(spark, d), "Supplier:1", 2).tables["edges"].select("from_node", "to_node", "edge_type")
+    return Q.graph_query(R.stored(spark, d), "Supplier:1", 2).tables["edges"].select("from_node", "to_node", "edge_type")
 
 
 def impact_direct(spark, d) -> DataFrame:
-    return Q.impact_query(R.index(spark, d), "Supplier:1").rows
+    return Q.impact_query(R.stored(spark, d), "Supplier:1").rows
 
 
 def impact_transitive(spark, d) -> DataFrame:
-    rows = Q.impact_query(R.index(spark, d), "Supplier:1", depth=3).tables["transitive"]
+    rows = Q.impact_query(R.stored(spark, d), "Supplier:1", depth=3).tables["transitive"]
     return rows.select("node_id", "kind", F.array_join("path", ">").alias("path"), F.array_join("edge_types", ">").alias("edge_types"))
 
 
@@ -129,12 +136,11 @@ def cosine_threshold(spark, d) -> DataFrame:
 
 def _named(index: G.Index) -> G.Index:
     """The projected documents are customers: their chunks are named by node."""
-    index.embeddings = index.embeddings.withColumn("id", F.concat(F.lit("Customer:"), "id"))
-    return index
+    return replace(index, embeddings=index.embeddings.withColumn("id", F.concat(F.lit("Customer:"), "id")))
 
 
 def semantic_best_chunk(spark, d) -> DataFrame:
-    rows = Q.semantic_query(_named(R.index(spark, d)), query_vector(spark, d), kinds=["customer"], min_score=0.0, limit=8).rows
+    rows = Q.semantic_query(_named(R.stored(spark, d)), query_vector(spark, d), kinds=["customer"], min_score=0.0, limit=8).rows
     return rows.select("node_id", C.rounded(F.col("score")).alias("score"), "snippet")
 
 
@@ -151,7 +157,7 @@ def lexical_all_words(spark, d) -> DataFrame:
 
 
 def _hybrid(spark, d, **options):
-    return Q.hybrid_query(_named(R.index(spark, d)), TEXT, query_vector(spark, d), depth=1, min_score=0.1, limit=30, **options)
+    return Q.hybrid_query(_named(R.stored(spark, d)), TEXT, query_vector(spark, d), depth=1, min_score=0.1, limit=30, **options)
 
 
 def hybrid_fused(spark, d) -> DataFrame:
@@ -187,7 +193,7 @@ counted AS (SELECT *, greatest(1, length(snippet) // 4) AS tokens, row_number()
 
 def context_items(spark, d) -> DataFrame:
     result = Q.context_query(
-        R.index(spark, d), ["Nation:3", "Supplier:1", "Customer:2"], depth=1, max_tokens=600, prefixes=PREFIXES,
+        R.stored(spark, d), ["Nation:3", "Supplier:1", "Customer:2"], depth=1, max_tokens=600, prefixes=PREFIXES,
         content=F.coalesce(F.try_element_at("fields_text", F.lit("name")), F.lit("")), priority={"region": 0, "nation": 1, "supplier": 2},
     )
     return result.rows.select("section", "node_id", "kind", "content", "reached_via", "distance", "tokens")
@@ -227,6 +233,7 @@ def queries() -> dict:
         "orphan_edges_typed": orphan_edges_typed,
         "orphan_rate": orphan_rate,
         "load_graph_dedup": load_graph,
+        "stored_edges": stored_edges,
         "layer_violations": layer_violations,
         "violation_rate": violation_rate,
         "coverage_customer": coverage_customer,
@@ -277,6 +284,7 @@ rows AS (SELECT name, r.edge_type, CASE WHEN count(o) > 0 THEN 'covered' ELSE 'm
         "orphan_edges_typed": s + f"{summary} (SELECT (SELECT count(*) FROM orphans WHERE edge_type = 'PLACED_BY') AS v, {loaded} AS a)",
         "orphan_rate": s + f"{summary} (SELECT (SELECT count(*) FROM orphans) AS v, {loaded} AS a)",
         "load_graph_dedup": s + "SELECT CAST(edge_seq AS BIGINT) AS edge_seq, from_node, to_node, edge_type, layer_violation FROM edges",
+        "stored_edges": s + "SELECT CAST(edge_seq AS BIGINT) AS edge_seq, from_node, to_node, edge_type, layer_violation FROM edges",
         "layer_violations": s + broken,
         "violation_rate": s + f"{summary} (SELECT count_if(layer_violation) AS v, count(*) AS a FROM edges)",
         "coverage_customer": cover + "SELECT * FROM rows",

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loregraph.functions.storage import new_folder
 from loregraph.operators.graph import Index, load_graph
+from loregraph.sources.walkstore import is_store, write_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,22 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return load_graph(nodes(spark, sf_dir), raw_edges(spark, sf_dir), embeddings(spark, sf_dir))
 
 
+#: Stores of this process: (application, tables and their last changes) to (folder, index).
+_STORES: dict[tuple[str, str], tuple[str, Index]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Index:
+    """``index`` written once a session to the shared folder as a walk store, and read from there; again if a table changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = ",".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+    key = (spark.sparkContext.applicationId, state)
+    if key not in _STORES or not is_store(spark, _STORES[key][0]):
+        root = new_folder(spark, "walks")
+        _STORES[key] = (root, write_store(index(spark, sf_dir), root))
+    return _STORES[key][1]
+
+
 #: The same projection as common table expressions.
 SQL = """WITH RECURSIVE nodes AS (
   SELECT 'Region:' || r_regionkey AS id, 'region' AS kind, '01-domain' AS layer, r_name AS name, NULL AS f2, NULL AS f3 FROM region
