@@ -43,3 +43,24 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["written_to"])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_exists(spark: SparkSession, uri: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_bucketed(rows: DataFrame, folder: str, key: str, buckets: int) -> None:
+    """Write to a new folder in buckets of ``key``, each a file and sorted by it."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # dealt as the buckets are: a file each
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")  # its files stay
+
+
+def bucketed_table(spark: SparkSession, folder: str, key: str, buckets: int) -> DataFrame:
+    """The table of a folder that ``write_bucketed`` wrote, in this session or another one."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = spark.read.parquet(folder)._jdf.schema().toDDL()
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return spark.table(name)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions.storage import discard, persisted
+from loregraph.operators.cells import CellIndex
+from loregraph.operators.substring import TextIndex
 
 EDGE_KEY = ["from_node", "to_node", "edge_type"]
 
@@ -27,6 +29,8 @@ class Index:
     embeddings: DataFrame | None = None
     manifest: DataFrame | None = None
     adjacency: Steps | None = None
+    texts: TextIndex | None = None
+    near: CellIndex | None = None
 
     def walkable(self) -> Index:
         """The same index with edges to walk on: the stored adjacency, or all edges written once."""

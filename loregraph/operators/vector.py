@@ -23,34 +23,6 @@ def cosine_search(embeddings: DataFrame, query: list[float], limit: int, min_sco
     return scored.where(F.col("score") >= min_score).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
-class NearIndex:
-    """An approximate index of vectors by random projections: finds near rows without scoring all.
-
-    Vectors are normalised, so that distance follows cosine.  ``tables`` and ``width`` trade work
-    for recall; ``cosine_search`` is the exact way.
-    """
-
-    def __init__(self, embeddings: DataFrame, tables: int = 12, width: float = 1.2, seed: int = 1):
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
-
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
-        unit = embeddings.withColumn("unit", array_to_vector(F.transform(F.col("vector").cast("array<double>"), lambda v: v / norm)))
-        self.rows = unit.where(norm > 0)
-        self.model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(self.rows)
-        self.hashed = self.model.transform(self.rows)
-
-    def search(self, query: list[float], limit: int) -> DataFrame:
-        """About the ``limit`` rows nearest to ``query``, with their cosine as ``score``."""
-        from pyspark.ml.linalg import Vectors
-
-        size = sum(x * x for x in query) ** 0.5
-        if not size:
-            return self.rows.drop("unit").limit(0).withColumn("score", F.lit(0.0))
-        near = self.model.approxNearestNeighbors(self.hashed, Vectors.dense([x / size for x in query]), limit, distCol="distance")
-        return near.withColumn("score", 1 - F.col("distance") ** 2 / 2).drop("unit", "hashes", "distance")
-
-
 def document_of(embedding_id):
     """The document part of an embedding id."""
     return F.when(F.contains(embedding_id, F.lit(":chunk-")), F.substring_index(embedding_id, ":chunk-", 1)).otherwise(F.substring_index(embedding_id, ":", 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loregraph.functions import columns as C
 from loregraph.functions.storage import discard, persisted
 from loregraph.operators.graph import EDGE_KEY, Index, edges_within, incoming, outgoing, reach, reverse_traverse, running_budget, traverse
+from loregraph.operators.substring import all_words_search, text_search
 from loregraph.operators.vector import best_chunk_per_node, cosine_search, document_of, nodes_of_documents
 from loregraph.schema import CHUNK_SHARE, CONSTANT_SCORE, CONTENT_CUT, CONTEXT_PRIORITY, COVERAGE_RULES, COVERAGE_TEXTS, EDGE_TYPES, KINDS, QueryError
 
@@ -48,30 +49,14 @@ def kind_layer(kinds: list[str] | None, layers: list[str] | None) -> Column:
     return passes & F.col("layer").isin(layers) if layers else passes
 
 
-def searchable(fields: list[str] | None = None) -> Column:
-    """A node's searched texts, lower-cased: id, aliases, text fields, list fields joined by commas."""
-    texts, lists = F.col("fields_text"), F.col("fields_list")
-    if fields:
-        wanted = F.array(*[F.lit(f) for f in fields])
-        texts, lists = (F.map_filter(m, lambda k, _: F.array_contains(wanted, k)) for m in (texts, lists))
-    none = F.array().cast("array<string>")
-    values = F.concat(F.coalesce(F.map_values(texts), none), F.coalesce(F.transform(F.map_values(lists), lambda v: F.array_join(v, ",")), none))
-    every = F.concat(F.array("id"), F.coalesce(F.col("aliases"), none), F.filter(values, lambda v: v.isNotNull()))
-    return F.transform(every, F.lower)
+def find_text(index: Index, query: str) -> DataFrame:
+    """``text_search`` over an index, by its stored postings if it has them."""
+    return text_search(index.nodes, query) if index.texts is None else index.texts.search(query)
 
 
-def text_search(nodes: DataFrame, query: str, fields: list[str] | None = None) -> DataFrame:
-    """Nodes any of whose texts contains the query."""
-    return nodes.where(F.exists(searchable(fields), lambda v: F.contains(v, F.lit(query.lower()))))
-
-
-def all_words_search(nodes: DataFrame, words: list[str]) -> DataFrame:
-    """Nodes with the first word in a text and all others in all texts joined by blanks."""
-    found = text_search(nodes, words[0])
-    joined = F.array_join(searchable(), " ")
-    for word in words[1:]:
-        found = found.where(F.contains(joined, F.lit(word.lower())))
-    return found
+def find_words(index: Index, words: list[str]) -> DataFrame:
+    """``all_words_search`` over an index, by its stored postings if it has them."""
+    return all_words_search(index.nodes, words) if index.texts is None else index.texts.search_words(words)
 
 
 def need_node(index: Index, node: str):
@@ -121,19 +106,23 @@ def need_query(text: str) -> None:
         raise QueryError("QUERY_TOO_SHORT", "a query has at least 3 characters")
 
 
-def chunks_with_nodes(index: Index, vector: list[float], limit: int, min_score: float) -> DataFrame:
-    """The best ``limit`` chunks with their ``node_id``."""
-    best = cosine_search(index.embeddings, vector, limit, min_score).select("id", "score", document_of(F.col("id")).alias("document_id"))
+def chunks_with_nodes(index: Index, vector: list[float], limit: int, min_score: float, probes: int | None = None) -> DataFrame:
+    """The best ``limit`` chunks with their ``node_id``; with ``probes``, the best of the index's so many nearest cells."""
+    found = cosine_search(index.embeddings, vector, limit, min_score) if index.near is None or probes is None else index.near.search(vector, limit, probes, min_score)
+    best = found.select("id", "score", document_of(F.col("id")).alias("document_id"))
     return best.join(nodes_of_documents(best, index.nodes), "document_id").select("id", "score", "node_id")
 
 
-def semantic_query(index: Index, vector: list[float], kinds: list[str] | None = None, layers: list[str] | None = None, min_score: float = 0.7, limit: int = 10, text: str | None = None) -> Result:
-    """Nodes by their best chunk.  The cut to three times ``limit`` chunks comes before all else."""
+def semantic_query(index: Index, vector: list[float], kinds: list[str] | None = None, layers: list[str] | None = None, min_score: float = 0.7, limit: int = 10, text: str | None = None, probes: int | None = None) -> Result:
+    """Nodes by their best chunk.  The cut to three times ``limit`` chunks comes before all else.
+
+    ``probes``: search so many cells of a stored index instead of all vectors.
+    """
     if text is not None:
         need_query(text)
     if index.embeddings is None:
         raise QueryError("NO_EMBEDDINGS", "the index has no vectors")
-    chunks = best_chunk_per_node(chunks_with_nodes(index, vector, limit * 3, min_score))
+    chunks = best_chunk_per_node(chunks_with_nodes(index, vector, limit * 3, min_score, probes))
     found = chunks.join(index.nodes.withColumnRenamed("id", "node_id"), "node_id").where(kind_layer(kinds, layers))
     rows = found.select("node_id", "score", C.snippet(F.col("kind"), F.coalesce(F.try_element_at("fields_text", F.lit("title")), F.col("node_id"))).alias("snippet"), F.lit("semantic").alias("match_source"))
     return Result(rows.orderBy(F.col("score").desc(), "node_id").limit(limit))
@@ -151,7 +140,7 @@ def hybrid_query(index: Index, text: str, vector: list[float] | None = None, exp
     else:
         warnings.append("NO_EMBEDDINGS: lexical and graph matches only")
         semantic = spark.createDataFrame([], "id string, semantic double")
-    lexical = text_search(passing, text).select("id", F.lit(CONSTANT_SCORE).alias("lexical"))
+    lexical = find_text(index, text).where(kind_layer(kinds, layers)).select("id", F.lit(CONSTANT_SCORE).alias("lexical"))
     zero = F.lit(0.0)
     scored = semantic.select("id", "semantic", zero.alias("graph"), zero.alias("lexical")).unionByName(lexical.select("id", zero.alias("semantic"), zero.alias("graph"), "lexical"))
     tables = Tables()
@@ -322,11 +311,11 @@ def resolve_hints(index: Index, hints: list[str], prefixes: list[str] | None = N
             taken = _take(taken, own, hint, "exact", seq)
             continue
         if "/" in hint or "." in hint:
-            tries += [(ranked(name_variants(basename(hint), prefixes)).select("id"), "basename"), (text_search(index.nodes, basename(hint)).select("id"), "text_search")]
+            tries += [(ranked(name_variants(basename(hint), prefixes)).select("id"), "basename"), (find_text(index, basename(hint)).select("id"), "text_search")]
         if not any(s in hint for s in ":/."):
             tries.append((ranked(name_variants(hint, prefixes)).select("id"), "exact"))
         words = hint.split()
-        tries.append(((all_words_search(index.nodes, words) if len(words) > 1 else text_search(index.nodes, hint)).select("id"), "text_search"))
+        tries.append(((find_words(index, words) if len(words) > 1 else find_text(index, hint)).select("id"), "text_search"))
         for rows, method in tries:
             new = rows.join(taken.select(F.col("node_id").alias("id")), "id", "left_anti")
             if not new.isEmpty():

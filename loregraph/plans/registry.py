@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import columns as C
 from loregraph.operators import graph as G
+from loregraph.operators import rank as P
 from loregraph.operators import vector as V
 from loregraph.plans import queries as Q
 from loregraph.plans import document_registry, spec_registry
@@ -128,6 +129,12 @@ def cosine_topk(spark, d) -> DataFrame:
     return rows.select("id", C.rounded(F.col("score")).alias("score"))
 
 
+def cosine_topk_cells(spark, d) -> DataFrame:
+    """The same from the store's cells: only those that can have one of the best are read."""
+    rows = R.stored(spark, d).near.search_exact(query_vector(spark, d), 20)
+    return rows.select("id", C.rounded(F.col("score")).alias("score"))
+
+
 def cosine_threshold(spark, d) -> DataFrame:
     vector = F.array(*[F.lit(x) for x in query_vector(spark, d)])
     scored = R.embeddings(spark, d).withColumn("score", C.cosine(F.col("vector"), vector))
@@ -156,6 +163,40 @@ def lexical_all_words(spark, d) -> DataFrame:
     return Q.all_words_search(R.nodes(spark, d), ["Brand#1", "part"]).select("id", "kind")
 
 
+def lexical_search_indexed(spark, d) -> DataFrame:
+    return R.stored(spark, d).texts.search(TEXT).select("id", "kind")
+
+
+def lexical_words_indexed(spark, d) -> DataFrame:
+    return R.stored(spark, d).texts.search_words(["Brand#1", "part"]).select("id", "kind")
+
+
+RANK_SEEDS = [("Supplier:1", 1.0), ("Customer:1", 3.0), ("Region:0", 0.5)]
+RANK_WEIGHTS = {"CONTAINS": 2.0, "IN_NATION": 0.5}
+RANK_ROUNDS = 6
+
+
+def personal_rank(spark, d) -> DataFrame:
+    """Personalised ranks over the loaded edges after a fixed number of rounds."""
+    seeds = spark.createDataFrame(RANK_SEEDS, "id string, weight double")
+    rank, _ = P.personal_rank(R.stored(spark, d).edges, seeds, 0.85, -1.0, RANK_ROUNDS, RANK_WEIGHTS)
+    return rank.select("id", C.rounded(F.col("rank")).alias("rank"))
+
+
+def _rank_sql() -> str:
+    weights = " ".join(f"WHEN '{t}' THEN {w}::DOUBLE" for t, w in RANK_WEIGHTS.items())
+    seeds = ", ".join(f"('{i}', {w}::DOUBLE)" for i, w in RANK_SEEDS)
+    rounds = "".join(
+        f""", m{r} AS (SELECT nxt AS id, sum(rank * share) * 0.85::DOUBLE AS rank FROM r{r - 1} JOIN ways USING (id) GROUP BY nxt),
+r{r} AS (SELECT id, sum(rank) AS rank FROM (SELECT * FROM m{r} UNION ALL SELECT id, rank * (1 - (SELECT coalesce(sum(rank), 0) FROM m{r})) FROM r0) GROUP BY id)"""
+        for r in range(1, RANK_ROUNDS + 1)
+    )
+    return R.SQL + f""", weighed AS (SELECT from_node AS id, to_node AS nxt, sum(CASE edge_type {weights} ELSE 1::DOUBLE END) AS w FROM edges GROUP BY ALL),
+ways AS (SELECT id, nxt, w / sum(w) OVER (PARTITION BY id) AS share FROM weighed),
+r0 AS (SELECT id, w / sum(w) OVER () AS rank FROM (VALUES {seeds}) s(id, w)){rounds}
+SELECT id, floor(rank * 1e6 + 0.5) / 1e6 AS rank FROM r{RANK_ROUNDS}"""
+
+
 def _hybrid(spark, d, **options):
     return Q.hybrid_query(_named(R.stored(spark, d)), TEXT, query_vector(spark, d), depth=1, min_score=0.1, limit=30, **options)
 
@@ -251,7 +292,11 @@ def queries() -> dict:
         "impact_direct": impact_direct,
         "impact_transitive": impact_transitive,
         "cosine_topk": cosine_topk,
+        "cosine_topk_cells": cosine_topk_cells,
         "cosine_threshold": cosine_threshold,
+        "lexical_search_indexed": lexical_search_indexed,
+        "lexical_words_indexed": lexical_words_indexed,
+        "personal_rank": personal_rank,
         "semantic_best_chunk": semantic_best_chunk,
         "lexical_search": lexical_search,
         "lexical_fields": lexical_fields,
@@ -279,7 +324,7 @@ rows AS (SELECT name, r.edge_type, CASE WHEN count(o) > 0 THEN 'covered' ELSE 'm
          FROM rules r LEFT JOIN other USING (edge_type) GROUP BY pos, name, r.edge_type)
 """
     lex = "SELECT id, kind FROM nodes WHERE "
-    return {
+    sql = {
         "orphan_edges": s + "SELECT from_node, to_node, edge_type, from_exists, to_exists, reason FROM orphans",
         "orphan_edges_typed": s + f"{summary} (SELECT (SELECT count(*) FROM orphans WHERE edge_type = 'PLACED_BY') AS v, {loaded} AS a)",
         "orphan_rate": s + f"{summary} (SELECT (SELECT count(*) FROM orphans) AS v, {loaded} AS a)",
@@ -319,4 +364,7 @@ SELECT node_id, floor(score * 1e6 + 0.5) / 1e6 AS score, '[customer] ' || node_i
         "list_nodes": s + "SELECT id, kind, id AS title, 'active' AS status FROM nodes WHERE kind IN ('nation', 'supplier')",
         "stats": s + "SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'orphans', count(*) FROM orphans UNION ALL SELECT 'embeddings', count(*) FROM vectors",
         "labels_precision": "SELECT lang, count(*) AS found, floor(avg(CAST(quality AS DOUBLE)) * 1e6 + 0.5) / 1e6 AS precision FROM documents JOIN labels USING (doc_id) WHERE contains(lower(text), 'license') GROUP BY lang",
-    } | spec_registry.oracle_sql() | document_registry.oracle_sql()
+    }
+    # stored forms give what the plain ones do
+    sql |= {"cosine_topk_cells": sql["cosine_topk"], "lexical_search_indexed": sql["lexical_search"], "lexical_words_indexed": sql["lexical_all_words"], "personal_rank": _rank_sql()}
+    return sql | spec_registry.oracle_sql() | document_registry.oracle_sql()

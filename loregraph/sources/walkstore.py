@@ -1,8 +1,8 @@
 """A loaded graph stored for walks: every edge under both of its ends, bucketed and sorted by where a step starts.
 
 Tables of a store: ``out`` and ``back`` (all edges, under ``from_node`` and under ``to_node``),
-``nodes``, ``orphans``, ``hubs`` and, if there are vectors, ``embeddings``.  The first three are
-bucketed, so a level of a walk deals its frontier into their buckets and never shuffles edges or
+``nodes``, ``orphans``, ``hubs``, the postings of the nodes' texts (see ``substring``) and, if
+there are vectors, ``embeddings`` by cells (see ``cells``).  The first three are bucketed, so a level of a walk deals its frontier into their buckets and never shuffles edges or
 nodes.  A frontier of at most ``PROBE`` slots is looked up by its values: Spark then reads only
 their buckets, and of these the row groups that may hold them.
 
@@ -16,13 +16,15 @@ Slots are joined by equality on text; a null end never occurs, as loaded edges h
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loregraph.functions.storage import bucketed_table, file_exists, write_bucketed
+from loregraph.operators.cells import open_cells, write_cells
 from loregraph.operators.graph import Index, followed
+from loregraph.operators.substring import open_texts, write_texts
 from loregraph.schema import QueryError
 
 #: Edges that a bucket is made for, and those of a node on one side beyond which it has several slots.
@@ -86,34 +88,19 @@ def write_store(index: Index, root: str, buckets: int | None = None, hub: int =
     for side, (own, other) in SIDES.items():
         parts = hubs.where(F.col("side") == side).select(F.col("id").alias(own), "slots")
         slotted = edges.join(parts, own, "left").withColumn("slot", slot_name(F.col(own), F.pmod(F.xxhash64(other), F.coalesce("slots", F.lit(1)))))
-        _write_bucketed(slotted.select("slot", *edges.columns), f"{root}/{side}", "slot", buckets)
-    _write_bucketed(index.nodes, f"{root}/nodes", "id", buckets)
+        write_bucketed(slotted.select("slot", *edges.columns), f"{root}/{side}", "slot", buckets)
+    write_bucketed(index.nodes, f"{root}/nodes", "id", buckets)
     index.orphans.write.parquet(f"{root}/orphans")
+    write_texts(bucketed_table(spark, f"{root}/nodes", "id", buckets), f"{root}/texts", buckets)
     if index.embeddings is not None:
-        index.embeddings.write.parquet(f"{root}/embeddings")
+        write_cells(index.embeddings, f"{root}/embeddings")
     about = {"buckets": buckets, "embeddings": index.embeddings is not None}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{root}/about")
     return open_store(spark, root)
 
 
-def _write_bucketed(rows: DataFrame, folder: str, key: str, buckets: int) -> None:
-    name = f"walk_{uuid.uuid4().hex}"
-    # dealt as the buckets are: a file each
-    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name)
-    rows.sparkSession.sql(f"DROP TABLE {name}")  # its files stay
-
-
-def _bucketed(spark: SparkSession, folder: str, key: str, buckets: int) -> DataFrame:
-    """The table of a folder that was written in buckets, by any session."""
-    name = f"walk_{uuid.uuid4().hex}"
-    columns = spark.read.parquet(folder)._jdf.schema().toDDL()
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{folder}'")
-    return spark.table(name)
-
-
 def is_store(spark: SparkSession, root: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/about/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return file_exists(spark, f"{root}/about/_SUCCESS")
 
 
 def open_store(spark: SparkSession, root: str) -> Index:
@@ -121,8 +108,9 @@ def open_store(spark: SparkSession, root: str) -> Index:
     if not is_store(spark, root):
         raise QueryError("INDEX_NOT_FOUND", root)
     about = json.loads(spark.read.text(f"{root}/about").first()["value"])
-    out, back = (_bucketed(spark, f"{root}/{side}", "slot", about["buckets"]) for side in SIDES)
+    out, back = (bucketed_table(spark, f"{root}/{side}", "slot", about["buckets"]) for side in SIDES)
     adjacency = Adjacency(out, back, spark.read.parquet(f"{root}/hubs"))
-    vectors = spark.read.parquet(f"{root}/embeddings") if about["embeddings"] else None
-    nodes = _bucketed(spark, f"{root}/nodes", "id", about["buckets"])
-    return Index(nodes, spark.read.parquet(f"{root}/edges"), spark.read.parquet(f"{root}/orphans"), vectors, adjacency=adjacency)
+    near = open_cells(spark, f"{root}/embeddings") if about["embeddings"] else None
+    nodes = bucketed_table(spark, f"{root}/nodes", "id", about["buckets"])
+    texts = open_texts(spark, f"{root}/texts", nodes, about["buckets"])
+    return Index(nodes, spark.read.parquet(f"{root}/edges"), spark.read.parquet(f"{root}/orphans"), near.rows if near else None, adjacency=adjacency, texts=texts, near=near)

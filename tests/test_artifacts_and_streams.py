@@ -153,23 +153,3 @@ def test_retrieval_quality(spark):
     asked = spark.createDataFrame([(1, "graph", 1.0), (2, "graph", 3.0), (3, "hybrid", 2.0), (4, "hybrid", 2.0)], "query_id int, strategy string, seconds double")
     found = {r["strategy"]: (r["queries"], r["precision"], round(r["p95_seconds"], 6)) for r in Q.retrieval_quality(hits, asked).collect()}
     assert found == {"graph": (2, 0.75, 2.9), "hybrid": (2, 0.0, 2.0)}
-
-
-def test_near_index_recall(spark):
-    """Of each query's ten nearest vectors by brute force, the index finds nine of ten at least."""
-    import numpy as np
-
-    rows = [r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()]
-    data = np.array(rows, float)
-    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
-    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id int, vector array<double>")
-    index = V.NearIndex(table)
-    found = total = 0
-    for q in range(0, len(data), max(1, len(data) // 8)):
-        best = set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist())
-        got = index.search(data[q].tolist(), 10).collect()
-        found += len(best & {r["id"] for r in got})
-        total += 10
-        assert got[0]["score"] == pytest.approx(1.0)
-    assert found >= 0.9 * total
-    assert index.search([0.0] * data.shape[1], 3).collect() == []
