@@ -49,14 +49,22 @@ def durations(received: DataFrame, completed: DataFrame, within: str = "1 hour")
     return joined.withColumn("seconds", F.unix_micros("completed_at") / 1e6 - F.unix_micros("received_at") / 1e6)
 
 
-def index_batches(stored: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+def index_batches(stored: Callable[[], DataFrame | None], apply: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: the batch's snapshot rows that differ from what is stored go to ``apply(changes, batch)``.
 
-    A batch that changes nothing touches nothing, so a repeated one is harmless.
+    ``stored`` gives None where there is no index yet: all rows are new.  A row without a
+    ``source_hash`` says that its document is gone: its change is D, if it is stored.  A batch
+    that changes nothing touches nothing, so a repeated one is harmless.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        changes = snapshot_diff(stored(), batch).where("status IN ('A', 'M')")
+        before = stored()
+        there = batch.where("source_hash IS NOT NULL")
+        if before is None:
+            changes = there.select("id", F.lit("A").alias("status"))
+        else:
+            gone = batch.where("source_hash IS NULL").select("id").distinct().join(before.select("id").distinct(), "id", "left_semi")
+            changes = snapshot_diff(before, there).where("status IN ('A', 'M')").select("id", "status").unionByName(gone.withColumn("status", F.lit("D")))
         if not changes.isEmpty():
             apply(changes, batch)
 
