@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.functions.storage import persisted
 from loregraph.operators.graph import Index, deduplicate_edges, load_graph
 from loregraph.schema import QueryError
 
@@ -44,9 +47,12 @@ def cascade_delete(index: Index, ids: DataFrame) -> Index:
     return Index(nodes, remove_edges_of(index.edges, ids), remove_edges_of(index.orphans, ids), chunks, index.manifest)
 
 
-def apply_diff(index: Index, changed: Index, diff: DataFrame) -> Index:
+def apply_diff(index: Index, changed: Index, diff: DataFrame, encode: Callable[[Column], Column] | None = None) -> Index:
     """Changed and deleted documents leave; the rows of added and changed ones in ``changed`` come in.
 
+    With ``encode``, a function of a text column, chunks in ``changed`` take over the vectors of
+    stored ones with the same text, wherever they were, and only new texts are encoded.
+
     Edges that start elsewhere and end at a changed node stay: only its own are made anew.
     Orphans get another look, as their ends may be there now.
     """
@@ -61,10 +67,40 @@ def apply_diff(index: Index, changed: Index, diff: DataFrame) -> Index:
         gone = leaving.select(document_id(F.col("id")).alias("document_id")).distinct()
         chunks = chunks.join(gone, "document_id", "left_anti").select(*chunks.columns)
         if changed.embeddings is not None:
-            chunks = chunks.unionByName(changed.embeddings, allowMissingColumns=True)
+            made = changed.embeddings if encode is None else with_vectors(changed.embeddings, index.embeddings, encode)
+            chunks = chunks.unionByName(made, allowMissingColumns=True)
     return load_graph(nodes, edges, chunks, index.manifest)
 
 
+def text_key(text: str = "context_text") -> Column:
+    """What tells texts to encode apart."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def chunk_changes(stored: DataFrame, made: DataFrame, text: str = "context_text") -> DataFrame:
+    """(id, status) of chunks: unchanged, moved (its text was stored under another id), new, and deleted (stored, and no more under this id with any text).
+
+    Ids should be distinct in each table.  A changed chunk is new or moved, by its text.
+    """
+    before = stored.select("id", text_key(text).alias("_old"), F.lit(True).alias("_was"))
+    after = made.select("id", text_key(text).alias("_new"), F.lit(True).alias("_is"))
+    texts = before.select(F.col("_old").alias("_new"), F.lit(True).alias("_known")).distinct()
+    both = before.join(after, "id", "full_outer").join(texts, "_new", "left")
+    status = F.when(F.col("_is").isNull(), "deleted").when(F.col("_old") == F.col("_new"), "unchanged").when(F.col("_known"), "moved").otherwise("new")
+    return both.select("id", status.alias("status"))
+
+
+def with_vectors(made: DataFrame, stored: DataFrame, encode: Callable[[Column], Column], text: str = "context_text") -> DataFrame:
+    """``made`` with ``vector``: of a stored chunk with the same text, else encoded, each new text once."""
+    keyed = made.drop("vector").withColumn("_key", text_key(text))
+    # chunks of one text have one vector
+    old = stored.where("vector IS NOT NULL").groupBy(text_key(text).alias("_key")).agg(F.min("vector").alias("_stored"))
+    fresh = keyed.join(old.select("_key"), "_key", "left_anti").groupBy("_key").agg(F.min(text).alias("_text"))
+    fresh = persisted(fresh.select("_key", encode(F.col("_text")).alias("_fresh")), "encoded")
+    found = keyed.join(old, "_key", "left").join(fresh, "_key", "left")
+    return found.select(*made.drop("vector").columns, F.coalesce("_stored", "_fresh").alias("vector"))
+
+
 def stale_chunks(stored: DataFrame, made: DataFrame) -> DataFrame:
     """Ids of stored chunks whose text has another hash now, or which are no more."""
     now = made.select("id", F.col("text_hash").alias("_now"))

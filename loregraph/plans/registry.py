@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import columns as C
 from loregraph.operators import graph as G
+from loregraph.operators import maintain as M
 from loregraph.operators import rank as P
 from loregraph.operators import vector as V
+from loregraph.operators.access import restricted
 from loregraph.plans import queries as Q
 from loregraph.plans import document_registry, spec_registry
 from loregraph.sources import relgraph as R
@@ -97,6 +99,38 @@ SELECT n.id AS node_id, floor(1 / (1 + min(dist)) * 1e6 + 0.5) / 1e6 AS score, '
 FROM walk w JOIN nodes n ON w.id = n.id {where} GROUP BY n.id HAVING min(dist) > 0"""
 
 
+def labelled_nodes(nodes: DataFrame) -> DataFrame:
+    """Customers of even keys are secret, and each third supplier is for operators."""
+    key = F.substring_index("id", ":", -1).cast("bigint")
+    none = F.array().cast("array<string>")
+    return nodes.withColumn("access", F.when((F.col("kind") == "customer") & (key % 2 == 0), F.array(F.lit("secret"))).when((F.col("kind") == "supplier") & (key % 3 == 0), F.array(F.lit("ops"), F.lit("audit"))).otherwise(none))
+
+
+def graph_bfs_labels(spark, d) -> DataFrame:
+    """A walk of a reader who has the label ops only."""
+    index = R.stored(spark, d)
+    seen = restricted(replace(index, nodes=labelled_nodes(index.nodes)), ["ops"])
+    return Q.graph_query(seen, "Supplier:1", 3, respect_layers=False).rows.select("node_id", C.rounded(F.col("score")).alias("score"))
+
+
+LABELS_SQL = R.SQL + """, seen AS (SELECT id, kind FROM nodes WHERE NOT (kind = 'customer' AND CAST(split_part(id, ':', 2) AS BIGINT) % 2 = 0)),
+seensteps AS (SELECT s.id, s.nxt FROM allsteps s WHERE s.id IN (SELECT id FROM seen) AND s.nxt IN (SELECT id FROM seen)),
+walk AS (SELECT 'Supplier:1' AS id, 0 AS dist UNION SELECT s.nxt, w.dist + 1 FROM walk w JOIN seensteps s ON w.id = s.id WHERE w.dist < 3)
+SELECT id AS node_id, floor(1 / (1 + min(dist)) * 1e6 + 0.5) / 1e6 AS score FROM walk GROUP BY id HAVING min(dist) > 0"""
+
+
+def chunk_changes(spark, d) -> DataFrame:
+    """Documents as chunks before and after: some are gone, some have a new text, some stand under another id."""
+    docs = R.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context_text"))
+    now = docs.where("id % 10 <> 7").select(F.when(F.col("id") % 10 == 3, F.col("id") + 1_000_000_000).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 10 == 5, F.concat("context_text", F.lit(" edited"))).otherwise(F.col("context_text")).alias("context_text"))
+    return M.chunk_changes(docs, now)
+
+
+CHUNKS_SQL = """WITH before AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents),
+after AS (SELECT CASE WHEN doc_id % 10 = 3 THEN doc_id + 1000000000 ELSE doc_id END AS id, sha256(CASE WHEN doc_id % 10 = 5 THEN coalesce(text || ' edited', '') ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 10 <> 7)
+SELECT id, CASE WHEN a.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' WHEN a.h IN (SELECT h FROM before) THEN 'moved' ELSE 'new' END AS status FROM before b FULL JOIN after a USING (id)"""
+
+
 def graph_bfs_edges(spark, d) -> DataFrame:
     return Q.graph_query(R.stored(spark, d), "Supplier:1", 2).tables["edges"].select("from_node", "to_node", "edge_type")
 
@@ -289,6 +323,8 @@ def queries() -> dict:
         "graph_bfs_kinds": _bfs(2, kinds=["part", "nation"]),
         "graph_bfs_all_layers": _bfs(3, respect_layers=False),
         "graph_bfs_edges": graph_bfs_edges,
+        "graph_bfs_labels": graph_bfs_labels,
+        "chunk_changes": chunk_changes,
         "impact_direct": impact_direct,
         "impact_transitive": impact_transitive,
         "cosine_topk": cosine_topk,
@@ -366,5 +402,5 @@ SELECT node_id, floor(score * 1e6 + 0.5) / 1e6 AS score, '[customer] ' || node_i
         "labels_precision": "SELECT lang, count(*) AS found, floor(avg(CAST(quality AS DOUBLE)) * 1e6 + 0.5) / 1e6 AS precision FROM documents JOIN labels USING (doc_id) WHERE contains(lower(text), 'license') GROUP BY lang",
     }
     # stored forms give what the plain ones do
-    sql |= {"cosine_topk_cells": sql["cosine_topk"], "lexical_search_indexed": sql["lexical_search"], "lexical_words_indexed": sql["lexical_all_words"], "personal_rank": _rank_sql()}
+    sql |= {"cosine_topk_cells": sql["cosine_topk"], "lexical_search_indexed": sql["lexical_search"], "lexical_words_indexed": sql["lexical_all_words"], "personal_rank": _rank_sql(), "graph_bfs_labels": LABELS_SQL, "chunk_changes": CHUNKS_SQL}
     return sql | spec_registry.oracle_sql() | document_registry.oracle_sql()
