@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import columns as C
 from loregraph.functions.storage import persisted
+from loregraph.operators import budget as B
+from loregraph.operators import confidence as K
 from loregraph.operators import extract as E
 from loregraph.operators import features as T
 from loregraph.operators import graph as G
@@ -109,6 +111,22 @@ def index_paragraph_chunks(spark, d) -> DataFrame:
     return E.paragraph_chunks_of(documents(spark, d)).select("id", "section_path", "raw_text", "context_text")
 
 
+def budget_chunks(spark, d) -> DataFrame:
+    """Chunks within 512 tokens of the orders' files, whose sections are up to 460 words each."""
+    rows = B.budget_chunks_of(P.parse_documents(R.order_files(spark, d))[0])
+    return rows.select("id", "document_kind", "chunk_index", "section_path", "chunk_type", "tokens", "text_hash")
+
+
+def scored_edges(spark, d) -> DataFrame:
+    return K.scored_edges(documents(spark, d))
+
+
+def unknown_mentions(spark, d) -> DataFrame:
+    """Nodes that files name and that no file is of, with the confidence of their surest mention."""
+    rows = documents(spark, d)
+    return K.mentions(rows, E.nodes_of(rows))
+
+
 def index_log(spark, d) -> DataFrame:
     found, skipped = P.parse_documents(R.files(spark, d))
     return E.index_log(found, skipped, E.chunks_of(found)).select("path", "success", "node_id", "edge_count", "embedding_count", "skipped_reason")
@@ -210,7 +228,7 @@ def hashed_vectors(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     md_front_matter, md_sections, md_wiki_links, md_table_rows, md_list_items, md_read_section, md_read_one, route_kind, index_nodes, index_edges, index_further_edges, index_load, index_chunks,
-    index_paragraph_chunks, index_log, index_counters, apply_diff, cascade_delete, layer_violations_both, layer_violations_filtered, validates_edges, impact_scenarios, impact_truncated,
+    index_paragraph_chunks, budget_chunks, scored_edges, unknown_mentions, index_log, index_counters, apply_diff, cascade_delete, layer_violations_both, layer_violations_filtered, validates_edges, impact_scenarios, impact_truncated,
     resolve_hints, find_spec, context_deep, hashed_vectors,
 )}
 
@@ -226,7 +244,41 @@ _LOG = _EMBEDDED + """, logged AS (
   SELECT path, kind <> 'memo' AS success, id AS node_id, (SELECT count(*) FROM md_edges e WHERE e.source_file = f.path) AS edge_count,
     (SELECT count(*) FROM chunked c WHERE c.path = f.path) AS embedding_count, CASE kind WHEN 'memo' THEN 'unknown kind: memo' END AS skipped_reason FROM md_files f)"""
 
+# The surest suggestion of each edge of a file.
+_SCORED = """, suggestions AS (
+  SELECT id AS from_node, node AS to_node, 'REFERENCES' AS edge_type, path AS source_file, 0.9::DOUBLE AS confidence, 'wiki_link' AS extraction_method FROM md_links
+  UNION ALL SELECT id, node, 'REFERENCES', path, 0.8, 'identifier' FROM md_links WHERE node NOT LIKE 'Entity:%'
+  UNION ALL SELECT 'CMD:CMD-' || n_nationkey, 'BR:BR-' || (n_nationkey % 10), 'REFERENCES', 'specs/02-behavior/commands/CMD-' || n_nationkey || '.md', 0.8, 'identifier' FROM nation
+  UNION ALL SELECT 'CMD:CMD-' || n_nationkey, 'Actor:Buyer' || (n_nationkey % 3), 'REFERENCES', 'specs/02-behavior/commands/CMD-' || n_nationkey || '.md', 0.8, 'named_actor' FROM nation
+  UNION ALL SELECT 'BR:BR-' || s_suppkey, unnest(['Entity:Part-' || s_suppkey, 'Event:EVT-Sold-1', 'CMD:CMD-' || (s_suppkey % 25), 'Event:EVT-Sold-1']), unnest(['RELATED_TO', 'RELATED_TO', 'DEPENDS_ON', 'REFERENCES']),
+    'specs/01-domain/rules/BR-' || s_suppkey || '.md', 1.0, 'front_matter' FROM supplier),
+scored AS (SELECT from_node, to_node, edge_type, source_file, max(confidence) AS confidence, arg_max(extraction_method, confidence) AS extraction_method FROM suggestions WHERE from_node <> to_node GROUP BY ALL)
+"""
+# Units of the orders' files before small ones are joined: whole processes that fit, lines that fit, or a line and what is below it.
+_BUDGET = f"""WITH RECURSIVE lines AS (
+  SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {R.LINE_HEAD} || chr(10) || chr(10) || {R.LINE_BODY} || chr(10) || chr(10) || {R.LINE_BELOW}) AS n, l_linenumber, {R.LINE_HEAD} || chr(10) || chr(10) || {R.LINE_BODY} AS own, {R.LINE_BELOW} AS below,
+    4 + 6 * CAST(l_quantity AS INT) AS own_words, 5 + 3 * CAST(l_quantity AS INT) AS below_words FROM lineitem),
+heads AS (SELECT o_orderkey AS k, CASE o_orderkey % 2 WHEN 0 THEN 'process' ELSE 'requirement' END AS kind, {R.ORDER_HEAD} || chr(10) || chr(10) || {R.ORDER_BODY} AS own, 5 AS own_words FROM orders),
+totals AS (SELECT k, sum(own_words + below_words) AS words, string_agg(own || chr(10) || chr(10) || below, chr(10) || chr(10) ORDER BY n) AS texts FROM lines GROUP BY k),
+whole AS (SELECT h.k, h.kind, concat_ws(chr(10) || chr(10), own, texts) AS text, own_words + coalesce(words, 0) AS words FROM heads h LEFT JOIN totals t USING (k) WHERE kind = 'process' AND own_words + coalesce(words, 0) <= 393),
+parts AS (
+  SELECT k, 0 AS n, 0 AS half, own AS text, own_words AS words, EXISTS (SELECT 1 FROM totals t WHERE t.k = h.k) AS leads, 'order-' || k AS path FROM heads h
+  UNION ALL SELECT k, n, 0, own || chr(10) || chr(10) || below, own_words + below_words, false, 'order-' || k || '.line-' || l_linenumber FROM lines WHERE own_words + below_words <= 393
+  UNION ALL SELECT k, n, 0, own, own_words, true, 'order-' || k || '.line-' || l_linenumber FROM lines WHERE own_words + below_words > 393
+  UNION ALL SELECT k, n, 1, below, below_words, false, 'order-' || k || '.line-' || l_linenumber || '.packing' FROM lines WHERE own_words + below_words > 393),
+units AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, half) AS u FROM parts WHERE k NOT IN (SELECT k FROM whole)),
+joined AS (
+  SELECT k, u, 0 AS chunk, words AS total FROM units WHERE u = 1
+  UNION ALL SELECT x.k, x.u, CASE WHEN j.total + x.words <= 393 AND (j.total < 39 OR x.words < 39 AND NOT x.leads) THEN chunk ELSE chunk + 1 END,
+    CASE WHEN j.total + x.words <= 393 AND (j.total < 39 OR x.words < 39 AND NOT x.leads) THEN j.total + x.words ELSE x.words END FROM joined j JOIN units x ON x.k = j.k AND x.u = j.u + 1),
+made AS (SELECT k, chunk, arg_min(path, u) AS section_path, 'full_section' AS chunk_type, sum(words) AS words, string_agg(text, chr(10) || chr(10) ORDER BY u) AS text FROM joined JOIN units USING (k, u) GROUP BY k, chunk
+  UNION ALL SELECT k, 0, 'order-' || k, 'process_flow', words, text FROM whole)
+SELECT CASE kind WHEN 'process' THEN 'PROC-' ELSE 'REQ-' END || k || ':part-' || chunk AS id, kind AS document_kind, CAST(chunk AS INTEGER) AS chunk_index, section_path, chunk_type, CAST(ceil(words * 13 / 10.0) AS INTEGER) AS tokens, sha256(text) AS text_hash FROM made JOIN heads USING (k)"""
+
 SQL = {
+    "budget_chunks": _BUDGET,
+    "scored_edges": S + _SCORED + "SELECT * FROM scored",
+    "unknown_mentions": S + _SCORED + "SELECT to_node AS id, max(confidence) AS confidence, count(DISTINCT from_node) AS documents FROM scored WHERE to_node NOT IN (SELECT id FROM md_nodes) GROUP BY 1",
     "md_front_matter": S + """SELECT path, kind, doc AS id, CASE WHEN kind IN ('entity', 'business-rule') THEN 'active' END AS status,
   CASE kind WHEN 'entity' THEN regexp_extract(content, 'aliases: \\[([^,]*), ([^\\]]*)\\]', 1) || '|' || regexp_extract(content, 'aliases: \\[([^,]*), ([^\\]]*)\\]', 2) ELSE '' END AS aliases FROM md_files""",
     "md_sections": S + "SELECT path, pos, heading, level, content, section_path FROM md_sections JOIN (SELECT path FROM md_nodes) USING (path)",

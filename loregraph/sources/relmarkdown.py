@@ -75,7 +75,7 @@ SPECS = [
     ),
     Spec(
         "business-rule", "supplier", "'specs/01-domain/rules/BR-' || s_suppkey || '.md'", "'01-domain'", "'BR:BR-' || s_suppkey", "'BR-' || s_suppkey",
-        [("kind", "'business-rule'"), ("id", "'BR-' || s_suppkey"), ("status", "'active'")],
+        [("kind", "'business-rule'"), ("id", "'BR-' || s_suppkey"), ("status", "'active'"), ("related", "'[Part-' || s_suppkey || ', EVT-Sold-1]'"), ("depends_on", "'CMD-' || (s_suppkey % 25)"), ("references", "'EVT-Sold-1'")],
         [
             ("s_name", 1, "''", SUPPLIER_TOP),
             ("'Declaration'", 2, "'Holds for [[Part-' || s_suppkey || ']] and [[EVT-Sold-1]].'", f"{SUPPLIER_TOP} || '.declaration'"),
@@ -88,7 +88,7 @@ SPECS = [
         [("kind", "'command'"), ("id", "'CMD-' || n_nationkey")],
         [
             ("n_name", 1, "''", "lower(n_name)"),
-            ("'Purpose'", 2, "'Ships to ' || n_name || '.'", "lower(n_name) || '.purpose'"),
+            ("'Purpose'", 2, "'Ships to ' || n_name || ' for user Buyer' || (n_nationkey % 3) || ' under BR-' || (n_nationkey % 10) || '.'", "lower(n_name) || '.purpose'"),
             ("'Input'", 2, "'| Name | Type |\n|---|---|\n| key | ' || n_nationkey || ' |'", "lower(n_name) || '.input'"),
             ("'Postconditions'", 2, "'Emits [[EVT-Sold-' || (n_nationkey % 5) || ']] and [[EVT-Sold-' || (n_nationkey % 5) || '|again]].'", "lower(n_name) || '.postconditions'"),
         ],
@@ -113,6 +113,23 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made
 
 
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of a file for each order, of a process or a requirement: a section for each of its lines, with one below it."""
+    folder = F.expr("CASE o_orderkey % 2 WHEN 0 THEN 'specs/02-behavior/processes/PROC-' ELSE 'specs/04-verification/criteria/REQ-' END")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", F.expr(f"{LINE_HEAD} || '\n\n' || {LINE_BODY} || '\n\n' || {LINE_BELOW}").alias("text")).alias("line"))
+    grouped = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(grouped, "o_orderkey", "left")
+    below = F.array_join(F.transform("lines", lambda x: x["text"]), "\n\n")
+    front = F.expr("'---\nkind: ' || CASE o_orderkey % 2 WHEN 0 THEN 'process' ELSE 'requirement' END || '\n---\n'")
+    return orders.select(F.concat(folder, "o_orderkey", F.lit(".md")).alias("path"), F.concat_ws("\n\n", F.concat(front, F.expr(ORDER_HEAD)), F.expr(ORDER_BODY), below).alias("content"))
+
+
+#: What an order's file says, in expressions that Spark and other SQL engines read alike.
+ORDER_HEAD, ORDER_BODY = "'# Order-' || o_orderkey", "'Placed by [[UC-' || o_custkey || ']].'"
+LINE_HEAD, LINE_BODY = "'## Line ' || l_linenumber", "'Pick' || repeat(' ' || l_returnflag, 6 * CAST(l_quantity AS INT))"
+LINE_BELOW = "'### Packing\n\nPack' || repeat(' ' || l_linestatus, 3 * CAST(l_quantity AS INT)) || '\n\nof supplier-' || l_suppkey"
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of a feature file for each supplier, whose two scenarios validate its rule and a use case."""
     text = "'@BR-' || s_suppkey || '\nFeature: ' || s_name || '\n\n  Scenario: holds\n    Given a part\n\n  @UC-' || (s_suppkey % 7) || '\n  Scenario: breaks\n    Then [[CMD-' || (s_suppkey % 25) || ']] stops\n'"

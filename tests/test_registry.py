@@ -14,7 +14,7 @@ QUICK = [
     "snapshot_diff", "merge_lww", "merge_delete_wins", "merge_edges", "sentence_split", "heading_sections", "link_extract", "lifecycle_state", "detect_layer",
     "impact_transitive", "md_sections", "md_wiki_links", "md_table_rows", "md_read_section", "route_kind", "index_nodes", "index_edges", "index_chunks", "index_paragraph_chunks", "index_counters",
     "apply_diff", "cascade_delete", "layer_violations_filtered", "impact_scenarios", "resolve_hints",
-    "stored_edges", "cosine_topk_cells", "lexical_search_indexed", "lexical_words_indexed", "personal_rank", "graph_bfs_labels", "chunk_changes",
+    "stored_edges", "cosine_topk_cells", "lexical_search_indexed", "lexical_words_indexed", "personal_rank", "graph_bfs_labels", "chunk_changes", "budget_chunks", "scored_edges", "unknown_mentions",
 ]
 
 
