@@ -19,7 +19,7 @@ from loregraph.plans import queries as Q
 from loregraph.sources import relmarkdown as R
 
 ROOT = "Entity:Part-1"
-HINTS = ["BR:BR-2", "docs/BR-3.md", "CMD-4", "part-5", "Supplier#000000006 x", "no such thing at all", "BR:BR-2"]
+HINTS = ["BR:BR-2", "docs/BR-3.md", "CMD-4", "part-5", "Supplier#000000006 x", "no such thing at all", "BR:BR-2", "MACHINERY", "ships CHINA", "specs/EVT-Sold-1.md", "Entity:none", "br-2 part-2"]
 
 
 def documents(spark, d) -> DataFrame:
@@ -325,8 +325,20 @@ seeds AS (SELECT id FROM ids WHERE contains(lower(id), 'br-2')),
 pairs AS (SELECT s.id AS seed, t.nxt AS id FROM seeds s JOIN steps t ON t.id = s.id UNION SELECT s.id, u.nxt FROM seeds s JOIN steps t ON t.id = s.id JOIN steps u ON u.id = t.nxt),
 scored AS (SELECT id, CASE WHEN id IN (SELECT id FROM seeds) THEN 0.25::DOUBLE ELSE 0.125::DOUBLE END AS score FROM (SELECT DISTINCT id FROM pairs WHERE id <> seed))
 SELECT id AS node_id, score, 'graph' AS match_source FROM scored ORDER BY score DESC, id LIMIT 5""",
-    "resolve_hints": S + """, said AS (SELECT * FROM (VALUES ('BR:BR-2', 'BR:BR-2', 'exact'), ('BR:BR-3', 'docs/BR-3.md', 'basename'), ('CMD:CMD-4', 'CMD-4', 'exact'), ('Entity:Part-5', 'part-5', 'exact')) v(node_id, matched_from, match_method))
-SELECT * FROM said WHERE node_id IN (SELECT id FROM md_nodes)""",
+    "resolve_hints": S + f""", texts AS (
+  SELECT id, lower(id) AS t FROM md_nodes UNION ALL SELECT 'Entity:Part-' || p_partkey, unnest([lower(p_brand), lower(p_type)]) FROM part
+  UNION ALL SELECT n.id, lower(s.content) FROM md_nodes n JOIN md_sections s USING (path) WHERE heading IN ('Description', 'Invariants', 'Main Flow', 'Declaration', 'When Applies', 'Purpose') OR (kind = 'command' AND heading = 'Postconditions')),
+hints AS (SELECT unnest({HINTS}) AS hint, generate_subscripts({HINTS}, 1) AS seq),
+named AS (SELECT *, regexp_replace(regexp_extract(hint, '[^/]*$'), '(.)[.][^.]*$', '\\1') AS base, hint LIKE '%/%' OR hint LIKE '%.%' AS is_path, hint LIKE '%:%' AS is_id, string_split_regex(hint, ' +') AS words FROM hints),
+variants AS (SELECT seq, p || ':' || n AS id FROM (SELECT seq, unnest([CASE WHEN is_path THEN base ELSE hint END, upper((CASE WHEN is_path THEN base ELSE hint END)[1]) || (CASE WHEN is_path THEN base ELSE hint END)[2:]]) AS n FROM named WHERE NOT is_id OR is_path), (SELECT unnest(['Entity', 'BR', 'UC', 'CMD']) AS p)),
+found AS (
+  SELECT seq, 0 AS try, 'exact' AS method, id FROM named JOIN md_nodes ON is_id AND id = hint
+  UNION SELECT seq, 1, CASE WHEN is_path THEN 'basename' ELSE 'exact' END, id FROM named JOIN variants USING (seq) JOIN md_nodes USING (id)
+  UNION SELECT seq, 2, 'text_search', id FROM named JOIN texts ON is_path AND contains(t, lower(base))
+  UNION SELECT seq, 3, 'text_search', id FROM named JOIN texts ON len(words) = 1 AND contains(t, lower(hint))
+  UNION SELECT seq, 3, 'text_search', id FROM named JOIN texts x ON len(words) > 1 AND contains(t, lower(words[1])) WHERE (SELECT bool_and(contains((SELECT string_agg(y.t, ' ') FROM texts y WHERE y.id = x.id), lower(w))) FROM (SELECT unnest(words[2:]) AS w))),
+first_tries AS (SELECT seq, min(try) AS try FROM found GROUP BY seq)
+SELECT id AS node_id, arg_min(hint, seq) AS matched_from, arg_min(method, seq) AS match_method FROM found JOIN first_tries USING (seq, try) JOIN named USING (seq) GROUP BY id""",
 }
 
 

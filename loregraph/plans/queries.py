@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loregraph.functions import columns as C
 from loregraph.functions.storage import discard, persisted
 from loregraph.operators.graph import EDGE_KEY, Index, edges_within, incoming, outgoing, reach, reverse_traverse, running_budget, traverse
-from loregraph.operators.substring import all_words_search, text_search
+from loregraph.operators.substring import all_words_search, searchable, text_search
 from loregraph.operators.vector import best_chunk_per_node, cosine_search, document_of, nodes_of_documents
 from loregraph.schema import CHUNK_SHARE, CONSTANT_SCORE, CONTENT_CUT, CONTEXT_PRIORITY, COVERAGE_RULES, COVERAGE_TEXTS, EDGE_TYPES, KINDS, QueryError
 
@@ -290,45 +290,121 @@ def name_variants(name: str, prefixes: list[str] | None = None) -> list[str]:
     return [f"{p}:{n}" for n in names for p in (prefixes or [p for _, p, *_ in KINDS])]
 
 
+@dataclass(frozen=True)
+class Try:
+    """One way to read a hint: ids that it may be, or a text or words to look for."""
+
+    method: str
+    ids: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+    full_id: bool = False
+
+    def finds(self) -> Column:
+        """Whether a node with ``id`` and ``texts`` (lower-cased) is meant."""
+        if self.ids:
+            return F.col("id").isin(list(self.ids))
+        first, *others = [F.lit(w.lower()) for w in self.words]
+        found = F.exists("texts", lambda v: F.contains(v, first))
+        for word in others:
+            found = found & F.contains(F.array_join("texts", " "), word)
+        return found
+
+
+#: A hint's tries are numbered from this many times its place.
+MOST_TRIES = 4
+
+
+def tries_of(hint: str, prefixes: list[str] | None = None) -> list[Try]:
+    """The ways to read a hint, the first that finds nodes which no earlier hint took counts."""
+    found = [Try("exact", (hint,), full_id=True)] if ":" in hint else []
+    if "/" in hint or "." in hint:
+        name = basename(hint)
+        found += [Try("basename", tuple(name_variants(name, prefixes))), Try("text_search", words=(name,))]
+    elif ":" not in hint:
+        found.append(Try("exact", tuple(name_variants(hint, prefixes))))
+    words = tuple(hint.split())
+    return [*found, Try("text_search", words=words if len(words) > 1 else (hint,))]
+
+
 def resolve_hints(index: Index, hints: list[str], prefixes: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(node_id, matched_from, match_method, seq) by hint in order, each node once; and warnings.
 
-    A step per hint: whether one matches depends on what the earlier ones took.  Only whether
-    there is a match reaches the driver.
+    All hints are looked for in one pass over the nodes by id, and in another one by text for
+    those that no id settles.  What then depends on the hints before is settled over counts: a
+    row for each try of a hint reaches the driver, whatever the number of nodes.  A full id that
+    exists is settled even if an earlier hint took the node.
     """
-    spark = index.nodes.sparkSession
-    taken = spark.createDataFrame([], "node_id string, matched_from string, match_method string, seq int")
-    warnings: list[str] = []
-
-    def ranked(ids: list[str]) -> DataFrame:
-        order = spark.createDataFrame([(v, i) for i, v in enumerate(ids)], "id string, rank int")
-        return index.nodes.select("id").join(F.broadcast(order), "id")
-
-    for seq, hint in enumerate(hints):
-        tries: list[tuple[DataFrame, str]] = []
-        if ":" in hint and index.nodes.where(F.col("id") == hint).limit(1).count():
-            own = index.nodes.where(F.col("id") == hint).select("id")
-            taken = _take(taken, own, hint, "exact", seq)
-            continue
-        if "/" in hint or "." in hint:
-            tries += [(ranked(name_variants(basename(hint), prefixes)).select("id"), "basename"), (find_text(index, basename(hint)).select("id"), "text_search")]
-        if not any(s in hint for s in ":/."):
-            tries.append((ranked(name_variants(hint, prefixes)).select("id"), "exact"))
-        words = hint.split()
-        tries.append(((find_words(index, words) if len(words) > 1 else find_text(index, hint)).select("id"), "text_search"))
-        for rows, method in tries:
-            new = rows.join(taken.select(F.col("node_id").alias("id")), "id", "left_anti")
-            if not new.isEmpty():
-                taken = _take(taken, new, hint, method, seq)
-                break
-        else:
-            warnings.append(f"No match found for hint: '{hint}'")
-    return taken, warnings
-
-
-def _take(taken: DataFrame, ids: DataFrame, hint: str, method: str, seq: int) -> DataFrame:
-    new = ids.join(taken.select(F.col("node_id").alias("id")), "id", "left_anti").distinct()
-    return persisted(taken.unionByName(new.select(F.col("id").alias("node_id"), F.lit(hint).alias("matched_from"), F.lit(method).alias("match_method"), F.lit(seq).alias("seq"))))
+    tries = [tries_of(h, prefixes) for h in hints]
+    looked = {(s, k) for s, all_ in enumerate(tries) for k, t in enumerate(all_) if t.ids}
+    while True:
+        matched = persisted(_matched(index, tries, looked), "hints")
+        chosen, wanted = _settled(matched, tries, looked)
+        if not wanted:
+            break
+        discard(matched)
+        looked |= wanted
+    warnings = [f"No match found for hint: '{h}'" for s, h in enumerate(hints) if s not in chosen]
+    first = _first_of(chosen)
+    said = lambda values: F.get(F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>"), F.col("seq"))
+    rows = matched.select(F.col("id").alias("node_id"), F.floor(first / MOST_TRIES).cast("int").alias("seq")).where("seq IS NOT NULL")
+    methods = [tries[s][chosen[s]].method if s in chosen else "" for s in range(len(hints))]
+    return rows.select("node_id", said(hints).alias("matched_from"), said(methods).alias("match_method"), "seq"), warnings
+
+
+def _matched(index: Index, tries: list[list[Try]], looked: set[tuple[int, int]]) -> DataFrame:
+    """(id, pairs): nodes that any of the looked-for tries finds, with the numbers of these."""
+    asked = [(s * MOST_TRIES + k, tries[s][k]) for s, k in sorted(looked)]
+    nodes = index.nodes
+    if index.texts is not None and any(t.words for _, t in asked):
+        by_text = [index.texts.rows(list(t.words)) for _, t in asked if t.words]
+        by_id = nodes.where(F.col("id").isin([i for _, t in asked for i in t.ids]))
+        columns = ("id", "aliases", "fields_text", "fields_list")
+        nodes = by_id.select(*columns)
+        for rows in by_text:
+            nodes = nodes.unionByName(rows.select(*columns))
+        nodes = nodes.dropDuplicates(["id"])
+    texts = searchable() if any(t.words for _, t in asked) else F.array().cast("array<string>")
+    pairs = F.array(*[F.when(t.finds(), n) for n, t in asked]) if asked else F.array().cast("array<int>")
+    return nodes.select("id", texts.alias("texts")).select("id", F.filter(pairs, lambda p: p.isNotNull()).alias("pairs")).where(F.size("pairs") > 0)
+
+
+def _first_of(chosen: dict[int, int]) -> Column:
+    """The number of the first chosen try that found a node; null if none did."""
+    numbers = [s * MOST_TRIES + k for s, k in chosen.items()]
+    return F.array_min(F.filter("pairs", lambda p: p.isin(numbers))) if numbers else F.lit(None).cast("int")
+
+
+def _settled(matched: DataFrame, tries: list[list[Try]], looked: set[tuple[int, int]]) -> tuple[dict[int, int], set[tuple[int, int]]]:
+    """(the try of each hint that finds something, tries that must be looked for before this can be told)."""
+
+    def counts(chosen: dict[int, int]) -> dict[int, tuple[int, int]]:
+        """By number of a try: nodes found, and those that no hint before took."""
+        each = matched.select(_first_of(chosen).alias("first"), F.explode("pairs").alias("pair"))
+        free = F.col("first").isNull() | (F.floor(F.col("first") / MOST_TRIES) >= F.floor(F.col("pair") / MOST_TRIES))
+        return {r["pair"]: (r["all"], r["free"]) for r in each.groupBy("pair").agg(F.count("*").alias("all"), F.count_if(free).alias("free")).collect()}
+
+    def read(found: dict[int, tuple[int, int]]) -> tuple[dict[int, int], set[tuple[int, int]]]:
+        chosen, wanted = {}, set()
+        for s, all_ in enumerate(tries):
+            for k, t in enumerate(all_):
+                if (s, k) not in looked:
+                    wanted.add((s, k))
+                    break
+                every, free = found.get(s * MOST_TRIES + k, (0, 0))
+                if free or every and t.full_id:
+                    chosen[s] = k
+                    break
+        return chosen, wanted
+
+    chosen, wanted = read(counts({}))
+    while not wanted:
+        now, wanted = read(counts(chosen))
+        if now == chosen:
+            break
+        # all before the first difference stays; what comes after it is told again
+        at = min(s for s in range(len(tries)) if now.get(s) != chosen.get(s))
+        chosen = {s: k for s, k in chosen.items() if s != at} | ({at: now[at]} if at in now else {})
+    return chosen, wanted
 
 
 def content_of() -> Column:
