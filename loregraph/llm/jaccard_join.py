@@ -57,9 +57,9 @@ MOST_DOCS = 60_000
 CLASSES = 8
 #: Counts are told apart up to this: enough for an order that is the same for all sets.
 MOST_COUNT = 65_535
-HEAD = ("ids", "has_id", "keys", "sizes")
-PACK = "packet bigint, mark bigint, range int, owners binary, low binary, more binary"
-ANSWER = "packet bigint, mark bigint, range int, whole int, owners binary, low binary, more binary, counts binary"
+HEAD = ("ids", "has_id", "keys", "sizes", "stay")
+PACK = "packet bigint, mark bigint, range int, owners binary, low binary, more binary, again_low binary, again_more binary, again binary"
+ANSWER = f"{PACK}, whole int, counts binary, totals binary"
 HEADS = ", ".join(f"{c} binary" for c in HEAD)
 
 
@@ -73,12 +73,13 @@ def unpacked_owners(data: bytes, count: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8 if len(data) == count else "<u2"), dtype=np.int64)
 
 
-def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, text: str, ranges: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, weight, tokens) of every row.
+def packs_of(rows: DataFrame, width: int, ranges: int) -> DataFrame:
+    """Packets of ``rows(doc_id, text)``, a row for each range of the shingles' hash.
 
-    ``tokens``: the shingles that other documents have too, rare first, if they are as many as
-    a partner at ``percent`` needs; else none.  ``weight``: how many documents have a shingle,
-    on average.  The key is null for an empty set.
+    A shingle that one document of the packet has stands with its document (``owners``, ``low``,
+    ``more``); one that several have stands once, with how many (``again_low``, ``again_more``,
+    ``again``).  Whose these are stays with the packet's head, which a range chosen by the packet
+    passes on: a shingle of all documents costs its range an entry a packet.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +93,12 @@ def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, tex
                 sets.append(hashes)
                 held += len(hashes)
                 if held >= HELD or len(sets) >= MOST_DOCS:
-                    yield dealt(part << 24 | number, ids, sets)
+                    yield dealt(part, number, ids, sets)
                     ids, sets, held, number = [], [], 0, number + 1
         if sets:
-            yield dealt(part << 24 | number, ids, sets)
+            yield dealt(part, number, ids, sets)
 
-    def dealt(packet: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def dealt(part: int, number: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
         head = (
             np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(),
@@ -105,18 +106,56 @@ def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, tex
         )
         mark = int.from_bytes(hashlib.blake2b(b"".join(head), digest_size=8).digest(), "little", signed=True)
         hashes = np.concatenate(sets)
-        at = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+        owners = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        at = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        # the range is a function of the upper 32 bits; 8 of the rest of them tell more
+        tokens = at << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
+        del hashes, at
+        order = np.argsort(tokens)
+        ahead = tokens[order]
+        same = ahead[1:] == ahead[:-1]
+        several = np.append(False, same) | np.append(same, False) if len(ahead) else np.zeros(0, bool)
+        again, counts = np.unique(ahead[several], return_counts=True)
+        single = np.ones(len(tokens), bool)
+        single[order[several]] = False
+        stay = owners[order[several]].astype("<u2").tobytes()
+        del order, ahead, same, several
+        tokens, owners = tokens[single], owners[single]
+        at = (tokens >> np.uint64(40)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
         order = np.argsort(at, kind="stable")  # within a range by document
+        bounds = np.arange(ranges + 1, dtype=np.uint64)
         cuts = np.searchsorted(at[order], np.arange(ranges + 1))
-        hashes, owners = hashes[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        more_cuts = np.searchsorted(again >> np.uint64(40), bounds)
+        tokens, owners = tokens[order], owners[order].astype(np.int64)
+        bears = (part + number) % ranges  # heads are spread over the ranges
         rows = []
-        for r in np.flatnonzero(np.diff(cuts)).tolist() or [0]:
-            part = hashes[cuts[r] : cuts[r + 1]]
-            # the range is a function of the upper 32 bits; 8 of the rest of them tell more
-            low, more = part.astype("<u4"), (part >> np.uint64(32)).astype(np.uint8)
-            rows.append((packet, mark, r, packed_owners(owners[cuts[r] : cuts[r + 1]]), low.tobytes(), more.tobytes(), *((None,) * 4 if rows else head)))
+        for r in range(ranges):
+            one, more = slice(cuts[r], cuts[r + 1]), slice(more_cuts[r], more_cuts[r + 1])
+            if cuts[r] < cuts[r + 1] or more_cuts[r] < more_cuts[r + 1] or r == bears:
+                parts = (packed_owners(owners[one]), *split_tokens(tokens[one]), *split_tokens(again[more]), counts[more].astype("<u2").tobytes())
+                rows.append((part << 24 | number, mark, r, *parts, *((*head, stay) if r == bears else (None,) * len(HEAD))))
         return batch_of(rows, f"{PACK}, {HEADS}")
 
+    return rows.mapInArrow(deal, f"{PACK}, {HEADS}")
+
+
+def split_tokens(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """The low 32 and the next 8 bits."""
+    return tokens.astype("<u4").tobytes(), (tokens >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def joined_tokens(low: bytes, more: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(more, np.uint8).astype(np.uint64) << np.uint64(32)
+
+
+def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, text: str, ranges: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, weight, tokens) of every row.
+
+    ``tokens``: the shingles that other documents have too, rare first, if they are as many as
+    a partner at ``percent`` needs; else none.  ``weight``: how many documents have a shingle,
+    on average.  The key is null for an empty set.
+    """
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
@@ -130,28 +169,34 @@ def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, tex
             yield from counted(parts)
 
     def counted(parts: list[dict]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate([np.frombuffer(p["low"], "<u4").astype(np.uint64) | np.frombuffer(p["more"], np.uint8).astype(np.uint64) << np.uint64(32) for p in parts])
+        pieces = [t for p in parts for t in (joined_tokens(p["low"], p["more"]), joined_tokens(p["again_low"], p["again_more"]))]
+        times = [t for p in parts for t in (np.ones(len(p["more"]), np.int64), np.frombuffer(p["again"], "<u2").astype(np.int64))]
+        tokens, times = np.concatenate(pieces), np.concatenate(times)
+        del pieces
         order = np.argsort(tokens)
         ahead = tokens[order]
         first = np.flatnonzero(np.append(True, ahead[1:] != ahead[:-1])) if len(ahead) else np.zeros(0, np.int64)
         runs = np.diff(first, append=len(ahead))
+        sums = np.add.reduceat(times[order], first) if len(ahead) else np.zeros(0, np.int64)
         counts = np.empty(len(tokens), "<u2")
-        counts[order] = np.repeat(np.minimum(runs, MOST_COUNT).astype("<u2"), runs)
-        del order, ahead
+        counts[order] = np.repeat(np.minimum(sums, MOST_COUNT).astype("<u2"), runs)
+        del order, ahead, times
         rows, held, at = [], 0, 0
         for p in parts:
-            whole = len(p["more"])
-            here = slice(at, at + whole)
-            at += whole
+            ones, several = len(p["more"]), len(p["again_more"])
+            here, after = slice(at, at + ones), slice(at + ones, at + ones + several)
+            at += ones + several
             shared = counts[here] > 1
-            own = unpacked_owners(p["owners"], whole)[shared]
+            own = unpacked_owners(p["owners"], ones)[shared]
             kept = tokens[here][shared]
-            rows.append((p["packet"], p["mark"], p["range"], whole, packed_owners(own), kept.astype("<u4").tobytes(), (kept >> np.uint64(32)).astype(np.uint8).tobytes(), counts[here][shared].tobytes(), *(p[c] for c in HEAD)))
-            held += len(kept)
+            whole = ones + int(np.frombuffer(p["again"], "<u2").sum(dtype=np.int64))
+            rows.append((p["packet"], p["mark"], p["range"], packed_owners(own), *split_tokens(kept), p["again_low"], p["again_more"], p["again"], whole, counts[here][shared].tobytes(), counts[after].tobytes(), *(p[c] for c in HEAD)))
+            held += len(kept) + several
             if held >= HELD:
                 yield batch_of(rows, f"{ANSWER}, {HEADS}")
                 rows, held = [], 0
-        yield batch_of(rows, f"{ANSWER}, {HEADS}")
+        if rows:
+            yield batch_of(rows, f"{ANSWER}, {HEADS}")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -171,11 +216,14 @@ def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, tex
         if len(heads) != 1 or len({p["mark"] for p in parts}) > 1 or sum(p["whole"] for p in parts) != sizes.sum():
             raise RuntimeError("the input's rows came in another order when a task ran again: write it as a table first")
         head = heads[0]
+        parts.sort(key=lambda p: p["range"])  # as the owners that stayed are
         keys = np.frombuffer(head["keys"], "V16")
         ids = pa.array(np.frombuffer(head["ids"], "<i8"), pa.int64(), mask=np.frombuffer(head["has_id"], np.uint8) == 0)
-        owners = np.concatenate([unpacked_owners(p["owners"], len(p["more"])) for p in parts])
-        tokens = np.concatenate([np.frombuffer(p["low"], "<u4").astype(np.int64) | np.frombuffer(p["more"], np.uint8).astype(np.int64) << 32 | p["range"] << 40 for p in parts])
-        counts = np.concatenate([np.frombuffer(p["counts"], "<u2") for p in parts])
+        named = lambda p, low, more: joined_tokens(p[low], p[more]).astype(np.int64) | p["range"] << 40
+        times = np.concatenate([np.frombuffer(p["again"], "<u2") for p in parts])
+        owners = np.concatenate([*[unpacked_owners(p["owners"], len(p["more"])) for p in parts], np.frombuffer(head["stay"], "<u2").astype(np.int64)])
+        tokens = np.concatenate([*[named(p, "low", "more") for p in parts], np.repeat(np.concatenate([named(p, "again_low", "again_more") for p in parts]), times)])
+        counts = np.concatenate([*[np.frombuffer(p["counts"], "<u2") for p in parts], np.repeat(np.concatenate([np.frombuffer(p["totals"], "<u2") for p in parts]), times)])
         shared = np.bincount(owners, minlength=len(sizes))
         weights = np.bincount(owners, counts, minlength=len(sizes)) / np.maximum(sizes, 1)
         enough = (shared * 100 >= sizes * percent) & (sizes > 0)
@@ -187,11 +235,11 @@ def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, tex
         for at in range(0, len(sizes), 4096):
             upto = min(at + 4096, len(sizes))
             lists = pa.ListArray.from_arrays(pa.array(offsets[at : upto + 1] - offsets[at], pa.int32()), pa.array(tokens[offsets[at] : offsets[upto]]))
-            named = pa.array([keys[i].tobytes() if sizes[i] else None for i in range(at, upto)], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids[at:upto], pa.array(sizes[at:upto]), named, pa.array(weights[at:upto]), lists], ["doc_id", "n_shingles", "set_key", "weight", "tokens"])
+            set_keys = pa.array([keys[i].tobytes() if sizes[i] else None for i in range(at, upto)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids[at:upto], pa.array(sizes[at:upto]), set_keys, pa.array(weights[at:upto]), lists], ["doc_id", "n_shingles", "set_key", "weight", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    packs = rows.mapInArrow(deal, f"{PACK}, {HEADS}").repartitionById(ranges, F.col("range"))
+    packs = packs_of(rows, width, ranges).repartitionById(ranges, F.col("range"))
     answers = packs.mapInArrow(count, f"{ANSWER}, {HEADS}").repartition(ranges, "packet").sortWithinPartitions("packet")
     return answers.mapInArrow(gather, "doc_id bigint, n_shingles bigint, set_key binary, weight double, tokens array<bigint>")
 

@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from loregraph.llm.jaccard_join import jaccard_components
+from loregraph.llm.jaccard_join import jaccard_components, packs_of
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -88,6 +89,17 @@ def test_many_components_under_one_passage(spark):
     assert sum(component < doc for doc, _, component in found) > 2000
 
 
+def test_a_line_of_all_documents_is_dealt_once_a_packet(spark):
+    line = "one line that all of the many documents have"
+    texts = [f"{line} " + " ".join(f"u{i}x{k}" for k in range(6)) for i in range(20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    packs = packs_of(docs, 5, 16)
+    size = sum(F.coalesce(F.length(c), F.lit(0)) for c, kind in packs.dtypes if kind == "binary" and c not in ("ids", "has_id", "keys", "sizes", "stay"))
+    by_range = sorted(r["bytes"] for r in packs.groupBy("range").agg(F.sum(size).alias("bytes")).collect())
+    assert packs.where("stay is not null").select("range").distinct().count() == packs.where("stay is not null").count()
+    assert by_range[-1] <= 2 * by_range[len(by_range) // 2]
+
+
 def test_empty_table_and_null_ids(spark):
     assert run(spark, []) == []
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id bigint, text string")
