@@ -48,15 +48,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays, of several with this id one.
 
-    Rows with a null id come last.
+    Rows with a null id come last.  Rows are equal if two 64-bit hashes are; one names them in
+    the join, so that different rows which share it alone stay or go together.
     """
-    hashed = F.xxhash64(*quoted(docs.columns), *[c.isNull() for c in quoted(docs.columns)])
-    rows = docs.select(hashed.alias("row"), F.col("doc_id").alias("id"), "text", F.struct(*quoted(docs.columns)).alias("d"))
+    values = [*quoted(docs.columns), *[c.isNull() for c in quoted(docs.columns)]]
+    rows = docs.select(F.xxhash64(*values).alias("row"), F.xxhash64(F.lit("second"), *values).alias("second"), F.col("doc_id").alias("id"), "text", F.struct(*quoted(docs.columns)).alias("d"))
     groups = jaccard_join.jaccard_components(rows, id_col="row").distinct()
     named = groups.join(rows.select("row", "id").distinct(), F.col("doc_id") == F.col("row"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
     kept = named.groupBy("component_id").agg(first.alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("d.*")
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row", "second"]).select("d.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
