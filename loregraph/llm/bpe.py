@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.chunks import Chunks, by_strings
-from loregraph.llm.common import quoted, schema_of, unused_name, without
+from loregraph.llm.common import quoted, returning_memory, schema_of, unused_name, without
 
 #: GPT-2's published pretoken pattern, which byte-level tokenizer files imply. Fixed value.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -260,7 +260,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
             sizes = [np.diff(bounds) for _, _, bounds in chunks.ids(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64())], [*keep, name])
 
-    return docs.select(*quoted(keep), F.col(text).alias(unused_name("text", *keep))).mapInArrow(count, schema_of(docs, keep, {name: "bigint"}))
+    return docs.select(*quoted(keep), F.col(text).alias(unused_name("text", *keep))).mapInArrow(returning_memory(count), schema_of(docs, keep, {name: "bigint"}))
 
 
 def _encoded(docs: DataFrame, tokenizer: str, text: str, keep, made: dict[str, str], row) -> DataFrame:
@@ -279,7 +279,7 @@ def _encoded(docs: DataFrame, tokenizer: str, text: str, keep, made: dict[str, s
             columns = batch.columns[: len(keep)] + [pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
 
-    return docs.select(*quoted(keep), F.col(text).alias(given)).mapInArrow(encode, schema)
+    return docs.select(*quoted(keep), F.col(text).alias(given)).mapInArrow(returning_memory(encode), schema)
 
 
 def op7_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import discard, materialise, shuffle_partitions
+from loregraph.llm.common import discard, materialise, returning_memory, shuffle_partitions
 from loregraph.llm.components import merged
 from loregraph.llm.shingles import set_key, shingle_sets
 
@@ -136,7 +136,7 @@ def packs_of(rows: DataFrame, width: int, ranges: int) -> DataFrame:
                 rows.append((part << 24 | number, mark, r, *parts, *((*head, stay) if r == bears else (None,) * len(HEAD))))
         return batch_of(rows, f"{PACK}, {HEADS}")
 
-    return rows.mapInArrow(deal, f"{PACK}, {HEADS}")
+    return rows.mapInArrow(returning_memory(deal), f"{PACK}, {HEADS}")
 
 
 def split_tokens(tokens: np.ndarray) -> tuple[bytes, bytes]:
@@ -240,8 +240,8 @@ def shingle_profiles(docs: DataFrame, width: int, percent: int, id_col: str, tex
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     packs = packs_of(rows, width, ranges).repartitionById(ranges, F.col("range"))
-    answers = packs.mapInArrow(count, f"{ANSWER}, {HEADS}").repartition(ranges, "packet").sortWithinPartitions("packet")
-    return answers.mapInArrow(gather, "doc_id bigint, n_shingles bigint, set_key binary, weight double, tokens array<bigint>")
+    answers = packs.mapInArrow(returning_memory(count), f"{ANSWER}, {HEADS}").repartition(ranges, "packet").sortWithinPartitions("packet")
+    return answers.mapInArrow(returning_memory(gather), "doc_id bigint, n_shingles bigint, set_key binary, weight double, tokens array<bigint>")
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:

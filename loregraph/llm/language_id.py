@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import quoted, schema_of, unused_name, without
+from loregraph.llm.common import quoted, returning_memory, schema_of, unused_name, without
 from loregraph.llm.shingles import texts_of
 
 WINDOW = 256
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text", keep: l
                 scores[known] = sums[np.arange(len(best)), best][known]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(languages, pa.string()), pa.array(np.clip(scores, 0, 1))], [*keep, *names])
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(returning_memory(predict), schema)
 
 
 def window_sums(model: ByteCnn, tables, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

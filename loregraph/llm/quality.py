@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import quoted, schema_of, unused_name, without
+from loregraph.llm.common import quoted, returning_memory, schema_of, unused_name, without
 from loregraph.llm.language_id import held_out
 from loregraph.llm.shingles import texts_of
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", k
                 scores = np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= GOOD).astype(np.int32))], [*keep, *names])
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(returning_memory(predict), schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
