@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import discard, materialise
+from loregraph.llm.common import discard, materialise, returning_memory
 from loregraph.llm.components import merged
 from loregraph.llm.jaccard_join import component_ids, links_of
 from loregraph.llm.shingles import U, set_key, shingle_sets, splitmix
@@ -168,7 +168,7 @@ def signed_rows(rows: DataFrame, width: int) -> DataFrame:
         lists = [fixed_lists(made, none) for made in (bands_of(ranks), np.hstack([bits_of(ranks), odd_sketches(hashes, sizes)]))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "r1", "r2")), pa.array(sizes, pa.int64()), keys, *lists], [c.split(" ")[0] for c in schema.split(", ")])
 
-    return rows.select("doc_id", "r1", "r2", "text").mapInArrow(sign, schema)
+    return rows.select("doc_id", "r1", "r2", "text").mapInArrow(returning_memory(sign), schema)
 
 
 def fixed_lists(values: np.ndarray, none: np.ndarray) -> pa.Array:
@@ -183,14 +183,21 @@ def token_sets(rows: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashes.view(np.int64) for _, hashes in shingle_sets(batch.column("text"), width)]
-            for at in range(0, len(found), TEXTS):
-                some = found[at : at + TEXTS]
-                sizes = np.array([len(s) for s in some])
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(some), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("set_key").slice(at, TEXTS), pa.array(sizes, pa.int64()), tokens], ["set_key", "n", "tokens"])
+            at, sets = 0, []
+            for _, hashes in shingle_sets(batch.column("text"), width):
+                sets.append(hashes.view(np.int64))
+                if len(sets) == TEXTS:
+                    yield made(batch.slice(at, TEXTS), sets)
+                    at, sets = at + TEXTS, []
+            if sets:
+                yield made(batch.slice(at), sets)
+
+    def made(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets])
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sizes, pa.int64()), tokens], ["set_key", "n", "tokens"])
 
-    return rows.select("set_key", "text").mapInArrow(make, "set_key binary, n bigint, tokens array<bigint>")
+    return rows.select("set_key", "text").mapInArrow(returning_memory(make), "set_key binary, n bigint, tokens array<bigint>")
 
 
 def spanning_forest(links: DataFrame) -> DataFrame:
@@ -218,7 +225,7 @@ def spanning_forest(links: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return links.select("a", "b").mapInArrow(unite, "a binary, b binary")
+    return links.select("a", "b").mapInArrow(returning_memory(unite), "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,10 +5,11 @@ import subprocess
 import sys
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from loregraph.llm import common, jaccard_join
+from loregraph.llm import common, jaccard_join, super_minhash
 
 KEPT = """
 import pyarrow as pa
@@ -67,3 +68,13 @@ def test_packets_return_memory_at_the_end(monkeypatch, returned):
     out = jaccard_join.packs_of(Rows(), 5, 3)(iter([batch(["a b c d e f", None])]))
     assert next(out) is not None and not returned
     assert list(out) == [] and returned == [1]
+
+
+def test_full_sets_come_in_bounded_batches_and_return_memory(returned):
+    """Of a large batch no more than ``TEXTS`` sets are held at once."""
+    count = 2 * super_minhash.TEXTS + 5
+    out = super_minhash.token_sets(Rows(), 3)(iter([batch([f"a b c {i}" for i in range(count)])]))
+    made = list(out)
+    assert [b.num_rows for b in made] == [super_minhash.TEXTS, super_minhash.TEXTS, 5] and returned == [1]
+    assert np.concatenate([b.column("set_key").to_pylist() for b in made]).tolist() == [str(i).encode() for i in range(count)]
+    assert all(len(set(t)) == n == 2 for b in made for n, t in zip(b.column("n").to_pylist(), b.column("tokens").to_pylist()))
