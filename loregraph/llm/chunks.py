@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from loregraph.llm.common import return_memory
 from loregraph.llm.shingles import texts_of
 
 #: White space that a pretoken may reach over: all but blank, tab and line feed.
 OTHER_SPACE = "[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 #: Bytes of text that are cut at once; a longer text is a piece of its own.
 PIECE = 4 << 20
+#: Strings that are encoded at once: a list of Python's numbers takes many times its ids' room.
+STRINGS = 1 << 14
 #: Bytes of a chunk that is remembered, at most.
 LONGEST = 40
 BLANK = np.zeros(256, bool)
@@ -37,9 +40,13 @@ def by_strings(encode: Callable[[list[str]], list[list[int]]]) -> Encoder:
     """An encoder of arrays from one of lists of strings."""
 
     def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = encode(texts.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), STRINGS):
+            found = encode(texts.slice(at, STRINGS).to_pylist())
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes[-1].sum())))
+        every = np.concatenate(sizes)
+        return np.concatenate(ids), np.cumsum(every) - every, every
 
     return run
 
@@ -81,6 +88,7 @@ class Chunks:
             ids, ends = self._gathered(piece, cuts)
             yield at, ids, ends[np.searchsorted(cuts, own)]
             at = upto
+            return_memory()  # a piece's arrays are many times its text
 
     def _gathered(self, piece: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks side by side, where each chunk's ids start and the last ones end)."""
@@ -121,4 +129,7 @@ class Chunks:
 def runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the runs of ``flat`` side by side, where each starts and the last one ends)."""
     ends = np.append(0, np.cumsum(sizes))
-    return flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
+    kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
+    places = np.repeat((starts - ends[:-1]).astype(kind), sizes)
+    places += np.arange(ends[-1], dtype=kind)
+    return flat[places], ends

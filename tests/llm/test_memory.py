@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loregraph.llm import common, jaccard_join, super_minhash
+from loregraph.llm import chunks, common, jaccard_join, super_minhash
 
 KEPT = """
 import pyarrow as pa
@@ -78,3 +78,20 @@ def test_full_sets_come_in_bounded_batches_and_return_memory(returned):
     assert [b.num_rows for b in made] == [super_minhash.TEXTS, super_minhash.TEXTS, 5] and returned == [1]
     assert np.concatenate([b.column("set_key").to_pylist() for b in made]).tolist() == [str(i).encode() for i in range(count)]
     assert all(len(set(t)) == n == 2 for b in made for n, t in zip(b.column("n").to_pylist(), b.column("tokens").to_pylist()))
+
+
+def test_new_chunks_are_encoded_some_at_a_time_and_pieces_return_memory(monkeypatch):
+    """Ids of a large column come from encoder calls of bounded size; each piece returns memory."""
+    given, calls = [], []
+    monkeypatch.setattr(chunks, "STRINGS", 7)
+    monkeypatch.setattr(chunks, "PIECE", 200)
+    monkeypatch.setattr(chunks, "return_memory", lambda: calls.append(1))
+    texts = [f"w{i} and w{i * 7 % 50}" for i in range(100)]
+
+    def encode(strings):
+        given.append(len(strings))
+        return [list(s.encode()) for s in strings]
+
+    found = [ids[low:high].tolist() for _, ids, bounds in chunks.Chunks(chunks.by_strings(encode), []).ids(pa.array(texts)) for low, high in zip(bounds[:-1], bounds[1:])]
+    assert found == [list(t.encode()) for t in texts]
+    assert max(given) <= 7 and len(calls) > 5
