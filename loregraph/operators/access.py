@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.functions.storage import later
 from loregraph.operators.graph import Index, Steps
 from loregraph.operators.vector import nodes_of_documents
 
@@ -55,6 +56,6 @@ def restricted(index: Index, allowed: list[str], labels: str = "access") -> Inde
         own = nodes_of_documents(chunks.select("document_id"), index.nodes).join(hidden.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
         chunks = chunks.join(own.select("document_id"), "document_id", "left_anti").select(*chunks.columns)
     return replace(
-        index, nodes=visible, edges=without_ends(index.edges, hidden), orphans=without_ends(index.orphans, hidden), embeddings=chunks,
-        adjacency=None if index.adjacency is None else VisibleSteps(index.adjacency, hidden), texts=None if index.texts is None else replace(index.texts, nodes=visible), near=None,
+        index, nodes=visible, edges=later(index.edges, lambda e: without_ends(e, hidden)), orphans=later(index.orphans, lambda e: without_ends(e, hidden)), embeddings=chunks,
+        adjacency=None if index.adjacency is None else VisibleSteps(index.adjacency, hidden), texts=None if index.texts is None else later(index.texts, lambda t: replace(t, nodes=visible)), near=None,
     )
